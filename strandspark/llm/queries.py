@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandspark.llm import bpe, chat, mixing, sharding, simhash
+from strandspark.llm import bpe, chat, flac, mixing, sharding, simhash
 from strandspark.llm.common import table
 
 
@@ -29,6 +29,11 @@ def op4_knapsack_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), [5, 2, 1], 3).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts stored as FLAC streams and read back."""
+    return flac.store_texts(table(spark, sf_dir, "documents"))
+
+
 def op6_extendible_hash_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shards of at most SHARD_BYTES bytes of all documents."""
     return sharding.shard_documents(table(spark, sf_dir, "documents"), SHARD_BYTES)
@@ -84,5 +89,5 @@ SELECT d.doc_id, d.n_bytes, CAST(depth AS INTEGER) AS depth, bits >> CAST(60 - d
 FROM leaf JOIN d USING (doc_id)
 """
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op3_bitsliced_simhash, op4_knapsack_mix, op6_extendible_hash_shards, op7_relational_chat)}
+QUERIES = {f.__name__: f for f in (op2_byte_bpe, op3_bitsliced_simhash, op4_knapsack_mix, op5_flac_media, op6_extendible_hash_shards, op7_relational_chat)}
 ORACLES: dict[str, str] = {"op6_extendible_hash_shards": _OP6_SQL, "op7_relational_chat": _OP7_SQL}
