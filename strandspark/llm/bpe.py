@@ -31,7 +31,7 @@ BUCKETS = 1 << 14
 #: The rank of a pair that does not merge. Both ends of a word are marked by the id after the last, which merges with none.
 NONE = 2**31 - 1
 #: Text bytes of a chunk (one longer document makes a chunk of its own).
-CHUNK_BYTES = 32 << 20
+CHUNK_BYTES = 12 << 20
 #: White space other than single blanks or line feeds between words: such texts are split by the pattern itself.
 _ODD = re.compile(r"\s\s|^\s|\s\Z|[^\S \n]")
 
@@ -101,10 +101,8 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def _joined(tables: Column, left: Column, right: Column) -> Column:
     """The id that two neighbouring ids merge to, or NONE."""
-    return _let(
-        F.get(tables["pairs"], F.get(tables["base"], left) + right),
-        lambda entry: F.when(F.shiftright(entry, 17) == left, entry.bitwiseAND(F.lit(0x1FFFF)).cast("int")).otherwise(F.lit(NONE)),
-    )
+    entry = F.get(tables["pairs"], F.get(tables["base"], left) + right)
+    return F.when(F.shiftright(entry, 17) == left, entry.bitwiseAND(F.lit(0x1FFFF)).cast("int")).otherwise(F.lit(NONE))
 
 
 def fold_merges(tables: Column, word: Column) -> Column:
@@ -136,7 +134,7 @@ def _pieces_of(pattern: regex.Pattern, segment: str) -> list[str]:
 
 
 def _chunks(batches: Iterable[pa.RecordBatch], pattern: str, byte_ids: list[int], limit: int) -> Iterator[pa.RecordBatch]:
-    find, end = regex.compile(pattern), byte_ids[-1]
+    find, end, id_of = regex.compile(pattern), byte_ids[-1], np.array(byte_ids[:256], np.int32)
     ids: list[int | None] = []
     at: dict[str, int] = {}  # distinct words
     segments: dict[str, list[int]] = {}
@@ -151,9 +149,14 @@ def _chunks(batches: Iterable[pa.RecordBatch], pattern: str, byte_ids: list[int]
 
     def flush() -> pa.RecordBatch:
         flat = np.concatenate(index) if index else np.zeros(0, np.int32)
-        parts = [[end, *map(byte_ids.__getitem__, w.encode("latin-1")), end] for w in at]
+        ends = np.cumsum([0, *(len(w) + 2 for w in at)])
+        parts = np.full(int(ends[-1]), end, np.int32)
+        inner = np.ones(len(parts), bool)
+        inner[ends[:-1]] = inner[ends[1:] - 1] = False
+        parts[inner] = id_of[np.frombuffer("".join(at).encode("latin-1"), np.uint8)]
+        parts = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(parts))
         return pa.RecordBatch.from_arrays(
-            [pa.array([ids], pa.list_(pa.int64())), pa.array([np.array(sizes, np.int64).tobytes()], pa.binary()), pa.array([flat.tobytes()], pa.binary()), pa.array([list(at)], pa.list_(pa.string())), pa.array([parts], pa.list_(pa.list_(pa.int32())))],
+            [pa.array([ids], pa.list_(pa.int64())), pa.array([np.array(sizes, np.int64).tobytes()], pa.binary()), pa.array([flat.tobytes()], pa.binary()), pa.array([list(at)], pa.list_(pa.string())), pa.ListArray.from_arrays(pa.array([0, len(parts)], pa.int32()), parts)],
             ["doc_ids", "sizes", "idx", "words", "parts"],
         )
 
