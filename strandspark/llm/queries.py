@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandspark.llm import bpe, chat, flac, mixing, sharding, simhash
+from strandspark.llm import attention, bpe, chat, fertility, flac, mixing, sharding, simhash
 from strandspark.llm.common import table
 
 
@@ -57,6 +57,19 @@ def op7_relational_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_token_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base rules and fertility bands of all documents by the public 32k pieces."""
+    return fertility.fertility_rules(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op10_attention_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents by the attention classifier."""
+    docs = table(spark, sf_dir, "documents")
+    model = attention.train(docs, table(spark, sf_dir, "labels"))
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    return attention.score_documents(docs.select("doc_id", "text"), model, 0.3).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 #: The template's escape adds a backslash after each "<" that backslashes and a bar follow.
 _OP7_SQL = r"""
 WITH rows AS (
@@ -89,5 +102,5 @@ SELECT d.doc_id, d.n_bytes, CAST(depth AS INTEGER) AS depth, bits >> CAST(60 - d
 FROM leaf JOIN d USING (doc_id)
 """
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op3_bitsliced_simhash, op4_knapsack_mix, op5_flac_media, op6_extendible_hash_shards, op7_relational_chat)}
+QUERIES = {f.__name__: f for f in (op2_byte_bpe, op3_bitsliced_simhash, op4_knapsack_mix, op5_flac_media, op6_extendible_hash_shards, op7_relational_chat, op9_token_fertility, op10_attention_mil)}
 ORACLES: dict[str, str] = {"op6_extendible_hash_shards": _OP6_SQL, "op7_relational_chat": _OP7_SQL}
