@@ -6,10 +6,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandspark.llm import attention, bpe, chat, fertility, flac, mixing, sharding, simhash
+from strandspark.llm import attention, bpe, chat, fertility, flac, mixing, sharding, simhash, suffix
 from strandspark.llm.common import table
 
 
+def op1_run_length_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the bytes of strings of 100 bytes that start earlier."""
+    return suffix.remove_repeats(table(spark, sf_dir, "documents"), 100)
+
+
 #: Byte limit of a shard in op6.
 SHARD_BYTES = 1 << 18
 
@@ -102,5 +107,5 @@ SELECT d.doc_id, d.n_bytes, CAST(depth AS INTEGER) AS depth, bits >> CAST(60 - d
 FROM leaf JOIN d USING (doc_id)
 """
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op3_bitsliced_simhash, op4_knapsack_mix, op5_flac_media, op6_extendible_hash_shards, op7_relational_chat, op9_token_fertility, op10_attention_mil)}
+QUERIES = {f.__name__: f for f in (op1_run_length_suffix_dedup, op2_byte_bpe, op3_bitsliced_simhash, op4_knapsack_mix, op5_flac_media, op6_extendible_hash_shards, op7_relational_chat, op9_token_fertility, op10_attention_mil)}
 ORACLES: dict[str, str] = {"op6_extendible_hash_shards": _OP6_SQL, "op7_relational_chat": _OP7_SQL}
