@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandspark.llm import attention, bpe, chat, fertility, flac, mixing, sharding, simhash, suffix
+from strandspark.llm import attention, bpe, chat, fertility, flac, lines, mixing, sharding, simhash, suffix
 from strandspark.llm.common import table
 
 
@@ -62,6 +62,11 @@ def op7_relational_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without lines that nearly repeat an earlier one."""
+    return lines.dedup_lines(table(spark, sf_dir, "documents"), 0.8, keep=["doc_id", "text"])
+
+
 def op9_token_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base rules and fertility bands of all documents by the public 32k pieces."""
     return fertility.fertility_rules(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
@@ -107,5 +112,5 @@ SELECT d.doc_id, d.n_bytes, CAST(depth AS INTEGER) AS depth, bits >> CAST(60 - d
 FROM leaf JOIN d USING (doc_id)
 """
 
-QUERIES = {f.__name__: f for f in (op1_run_length_suffix_dedup, op2_byte_bpe, op3_bitsliced_simhash, op4_knapsack_mix, op5_flac_media, op6_extendible_hash_shards, op7_relational_chat, op9_token_fertility, op10_attention_mil)}
+QUERIES = {f.__name__: f for f in (op1_run_length_suffix_dedup, op2_byte_bpe, op3_bitsliced_simhash, op4_knapsack_mix, op5_flac_media, op6_extendible_hash_shards, op7_relational_chat, op8_fuzzy_line_dedup, op9_token_fertility, op10_attention_mil)}
 ORACLES: dict[str, str] = {"op6_extendible_hash_shards": _OP6_SQL, "op7_relational_chat": _OP7_SQL}
