@@ -2,5 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from strandspark.plans import interval_queries, seed_queries
+
+_MODULES = (seed_queries, interval_queries)
+
+QUERIES = {name: query for module in _MODULES for name, (query, _) in module.QUERIES.items()}
+ORACLES = {name: sql for module in _MODULES for name, (_, sql) in module.QUERIES.items() if sql}
