@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from strandspark.plans import interval_queries, seed_queries
+from strandspark.plans import agreement_queries, interval_queries, scalar_queries, seed_queries
 
-_MODULES = (seed_queries, interval_queries)
+_MODULES = (seed_queries, interval_queries, scalar_queries, agreement_queries)
 
 QUERIES = {name: query for module in _MODULES for name, (query, _) in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, (_, sql) in module.QUERIES.items() if sql}

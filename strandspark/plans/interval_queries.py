@@ -99,15 +99,15 @@ def j9(spark, d):
 
 def j6(spark, d):
     o = _orders(spark, d)
-    return I.as_of(_points(spark, d), o, ["cust"], ["l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber", "pos", F.col("found").alias("start"), (F.col("pos") - F.col("found")).alias("offset"))
+    return I.as_of(_points(spark, d), o, ["cust"], ["l_orderkey", "l_linenumber"]).where("found is not null").select("l_orderkey", "l_linenumber", "pos", F.col("found").alias("start"), (F.col("pos") - F.col("found")).alias("offset"))
 
 
 def j12(spark, d):
-    return I.as_of(_points(spark, d), _orders(spark, d), ["cust"], ["l_orderkey", "l_linenumber"], forward=True).select("l_orderkey", "l_linenumber", "pos", F.col("found").alias("next_start"))
+    return I.as_of(_points(spark, d), _orders(spark, d), ["cust"], ["l_orderkey", "l_linenumber"], forward=True).where("found is not null").select("l_orderkey", "l_linenumber", "pos", F.col("found").alias("next_start"))
 
 
 def j13(spark, d):
-    return I.as_of(_points(spark, d), _orders(spark, d), ["cust"], ["l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber", "pos", F.col("found").alias("prev_start"))
+    return I.as_of(_points(spark, d), _orders(spark, d), ["cust"], ["l_orderkey", "l_linenumber"]).where("found is not null").select("l_orderkey", "l_linenumber", "pos", F.col("found").alias("prev_start"))
 
 
 def j7(spark, d):
@@ -184,8 +184,8 @@ QUERIES = {
     "J16_contained": (j16, f"WITH {_ORD} SELECT a.id AS order_id, count(*) AS contained FROM ord a JOIN ord b ON a.cust = b.cust AND a.id <> b.id AND a.s - 20 <= b.s AND b.e <= a.e + 20 GROUP BY a.id"),
     "J5_point_in_interval": (j5, f"WITH {_ORD}, {_PTS} SELECT ord.cust, l_orderkey, l_linenumber, id AS order_id FROM pts JOIN ord ON pts.cust = ord.cust AND s <= pos AND pos < e"),
     "J9_stab_closed": (j9, f"WITH {_ORD}, {_PTS} SELECT ord.cust, pos, count(DISTINCT id) AS intervals FROM pts JOIN ord ON pts.cust = ord.cust AND s <= pos AND pos <= e GROUP BY ALL"),
-    "J6_as_of_offset": (j6, f"WITH {_ORD}, {_PTS}, o AS (SELECT DISTINCT cust, s FROM ord) SELECT l_orderkey, l_linenumber, pos, s AS start, pos - s AS \"offset\" FROM pts ASOF LEFT JOIN o ON pts.cust = o.cust AND pts.pos >= o.s"),
-    "J12_next_interval": (j12, f"WITH {_ORD}, {_PTS}, o AS (SELECT DISTINCT cust, s FROM ord) SELECT l_orderkey, l_linenumber, pos, s AS next_start FROM pts ASOF LEFT JOIN o ON pts.cust = o.cust AND pts.pos <= o.s"),
-    "J13_prev_interval": (j13, f"WITH {_ORD}, {_PTS}, o AS (SELECT DISTINCT cust, s FROM ord) SELECT l_orderkey, l_linenumber, pos, s AS prev_start FROM pts ASOF LEFT JOIN o ON pts.cust = o.cust AND pts.pos >= o.s"),
+    "J6_as_of_offset": (j6, f"WITH {_ORD}, {_PTS}, o AS (SELECT DISTINCT cust, s FROM ord) SELECT l_orderkey, l_linenumber, pos, s AS start, pos - s AS \"offset\" FROM pts ASOF JOIN o ON pts.cust = o.cust AND pts.pos >= o.s"),
+    "J12_next_interval": (j12, f"WITH {_ORD}, {_PTS}, o AS (SELECT DISTINCT cust, s FROM ord) SELECT l_orderkey, l_linenumber, pos, s AS next_start FROM pts ASOF JOIN o ON pts.cust = o.cust AND pts.pos <= o.s"),
+    "J13_prev_interval": (j13, f"WITH {_ORD}, {_PTS}, o AS (SELECT DISTINCT cust, s FROM ord) SELECT l_orderkey, l_linenumber, pos, s AS prev_start FROM pts ASOF JOIN o ON pts.cust = o.cust AND pts.pos >= o.s"),
     "J7_most_important_overlap": (j7, f"WITH {_ORD}, p AS (SELECT o_orderkey AS id, CAST(left(o_orderpriority, 1) AS BIGINT) AS pr FROM orders) SELECT a.id AS order_id, max(pr) AS priority, CAST(sum(least(a.e, b.e) - greatest(a.s, b.s)) AS BIGINT) AS overlap FROM ord a JOIN ord b ON a.cust = b.cust AND a.s < b.e AND b.s < a.e JOIN p ON p.id = b.id GROUP BY a.id"),
 }
