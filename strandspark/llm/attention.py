@@ -72,7 +72,7 @@ def forward(model: dict, x: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, d
 def fit(x: np.ndarray, many: np.ndarray, label: np.ndarray, seed: int = 42, rounds: int = 40, rate: float = 0.01, batch: int = 128) -> dict:
     """Fit by Adam on the log loss, both labels weighing the same in sum up to a factor of three."""
     rng = np.random.default_rng(seed)
-    model = {"mean": x.mean(axis=0), "W": rng.normal(0, 1 / np.sqrt(WIDTH), (WIDTH, CODE)), "b": np.zeros(CODE), "V": rng.normal(0, 0.3, (CODE, GATE)), "U": rng.normal(0, 0.3, (CODE, GATE)), "w": rng.normal(0, 0.3, GATE), "c": rng.normal(0, 0.3, CODE), "d": np.zeros(1)}
+    model = {"mean": x.mean(axis=0) if len(x) else np.zeros(WIDTH), "W": rng.normal(0, 1 / np.sqrt(WIDTH), (WIDTH, CODE)), "b": np.zeros(CODE), "V": rng.normal(0, 0.3, (CODE, GATE)), "U": rng.normal(0, 0.3, (CODE, GATE)), "w": rng.normal(0, 0.3, GATE), "c": rng.normal(0, 0.3, CODE), "d": np.zeros(1)}
     model = {k: p.astype(np.float64) for k, p in model.items()}
     if not len(label) or label.min() == label.max():
         model["c"][:], model["d"][:] = 0, 4 if not len(label) or label.min() else -4
