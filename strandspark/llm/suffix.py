@@ -23,15 +23,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandspark.llm.common import byte_blocks, save, shuffle_partitions
+from strandspark.llm.common import byte_blocks, save, shuffle_partitions, small_side
 
 #: Bytes of an anchor.
 ANCHOR = 32
 #: Text bytes hashed at once, and text bytes whose anchors a task gathers before it sends them.
-BLOCK_BYTES, SEND_BYTES = 4 << 20, 48 << 20
+BLOCK_BYTES, SEND_BYTES = 1 << 20, 32 << 20
+#: Bytes of surroundings indexed at once (those of one anchor stay together).
+INDEX_BYTES = 1 << 20
+#: Bytes of spans or positions that may be broadcast to the texts; beyond them the texts are shuffled.
+BROADCAST_BYTES = 24 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _ANY_DOC = (1 << 63) - 1
-ENTRY = np.dtype([("anchor", "<u8"), ("around", "<u8"), ("doc", "<i8"), ("pos", "<i8")])
+ENTRY = np.dtype([("anchor", "<u8"), ("around", "<u8"), ("doc", "<i8"), ("pos", "<u4")])
 SPAN = np.dtype([("start", "<i8"), ("end", "<i8")])
 
 
@@ -109,8 +113,21 @@ def _span_rows(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[tupl
     return [(int(d[a]), packed[a:b].tobytes()) for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(d)], strict=True)] if len(cut) else []
 
 
-def _rows(kind: str, rows: list[tuple[int, bytes]], other: int = 0) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([kind] * len(rows), pa.string()), pa.array([r[1] for r in rows], pa.binary())], ["key", "kind", "data"])
+def _rows(kind: str, rows: list[tuple[int, bytes]], buckets: int = 0) -> pa.RecordBatch:
+    """Rows (bucket, key, kind, data); rows of documents travel through the bucket of their key."""
+    key = [r[0] for r in rows]
+    to = [k % buckets for k in key] if buckets else [0] * len(key)
+    return pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), pa.array(key, pa.int64()), pa.array([kind] * len(rows), pa.string()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "key", "kind", "data"])
+
+
+def _planes(entry: np.ndarray) -> bytes:
+    """Records byte plane by byte plane: the planes of small numbers' high bytes are zeros, which compress away."""
+    return np.ascontiguousarray(entry.view(np.uint8).reshape(len(entry), -1).T).tobytes()
+
+
+def _from_planes(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(data, np.uint8).reshape(ENTRY.itemsize, -1)
+    return np.ascontiguousarray(raw.T).reshape(-1).view(ENTRY)
 
 
 def _exchange(batches: Iterable[pa.RecordBatch], length: int, buckets: int) -> Iterator[pa.RecordBatch]:
@@ -131,14 +148,15 @@ def _exchange(batches: Iterable[pa.RecordBatch], length: int, buckets: int) -> I
         lead = np.maximum.accumulate(np.where(again, 0, np.arange(len(entry))))
         twin = again & (entry["doc"] == entry["doc"][lead]) & (entry["pos"] == entry["pos"][lead])
         late = again & ~twin
-        spans = _span_rows(entry["doc"][late], np.maximum(entry["pos"][late] - (length - ANCHOR), 0), np.minimum(entry["pos"] + length, size)[late])
-        yield _rows("spans", spans)
+        at = entry["pos"][late].astype(np.int64)
+        spans = _span_rows(entry["doc"][late], np.maximum(at - (length - ANCHOR), 0), np.minimum(at + length, size[late]))
+        yield _rows("spans", spans, buckets)
         keep = entry[~again]
         to = (keep["anchor"] % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(to, kind="stable")
         keep, to = keep[order], to[order]
         cut = np.flatnonzero(np.r_[True, to[1:] != to[:-1]]) if len(to) else np.zeros(0, np.int64)
-        yield _rows("anchors", [(int(to[a]), keep[a:b].tobytes()) for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(to)], strict=True)] if len(cut) else [])
+        yield _rows("anchors", [(int(to[a]), _planes(keep[a:b])) for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(to)], strict=True)] if len(cut) else [], buckets)
         held.clear()
         sizes.clear()
 
@@ -158,9 +176,14 @@ def _exchange(batches: Iterable[pa.RecordBatch], length: int, buckets: int) -> I
 
 
 def _resolve(rows: pa.Table) -> pa.Table:
-    """A bucket's anchors: those with one surrounding need no text, those with several are asked for ("asked")."""
-    packed = rows.column("data").to_pylist()
-    entry = np.concatenate([np.frombuffer(p, ENTRY) for p in packed])
+    """A bucket's anchors: repeats of one surrounding need no text ("covered"), anchors with several surroundings have
+    the first of each asked for ("asked"). Spans pass through."""
+    mark = rows.column("kind").combine_chunks().to_numpy(zero_copy_only=False) == "anchors"
+    packed = rows.column("data").filter(pa.array(mark)).to_pylist()
+    out = [rows.filter(pa.array(~mark)).combine_chunks()]
+    if not packed:
+        return out[0]
+    entry = np.concatenate([_from_planes(p) for p in packed])
     order = np.lexsort((entry["pos"], entry["doc"], entry["around"], entry["anchor"]))
     entry = entry[order]
     new_anchor = np.r_[True, entry["anchor"][1:] != entry["anchor"][:-1]]
@@ -169,7 +192,6 @@ def _resolve(rows: pa.Table) -> pa.Table:
     late = ~new_around & ~((entry["doc"] == entry["doc"][lead]) & (entry["pos"] == entry["pos"][lead]))
     group = np.cumsum(new_anchor) - 1
     many = np.bincount(group[new_around], minlength=group[-1] + 1)[group] > 1
-    out = []
     for kind, which in (("covered", late), ("asked", new_around & many)):
         e = entry[which]
         e = e[np.lexsort((e["pos"], e["doc"]))]
@@ -177,12 +199,12 @@ def _resolve(rows: pa.Table) -> pa.Table:
         pairs = np.empty(len(e), SPAN)
         pairs["start"], pairs["end"] = e["pos"], e["anchor"].view(np.int64)
         ends = [*cut[1:].tolist(), len(e)]
-        out.append(_rows(kind, [(int(e["doc"][a]), pairs[a:b].tobytes()) for a, b in zip(cut.tolist(), ends, strict=True)] if len(cut) else []))
-    return pa.Table.from_batches(out)
+        out.append(pa.Table.from_batches([_rows(kind, [(int(e["doc"][a]), pairs[a:b].tobytes()) for a, b in zip(cut.tolist(), ends, strict=True)] if len(cut) else [])]))
+    return pa.concat_tables([out[0].cast(out[1].schema), *out[1:]])
 
 
 def _cut_out(batches: Iterable[pa.RecordBatch], length: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Surroundings asked for, as rows (bucket, packed [doc, start, anchor], bytes): one for each bucket and document."""
+    """Surroundings asked for, as rows (bucket, packed [doc, start, length, anchor], bytes): one for each bucket and document."""
     for batch, data, offsets in byte_blocks(batches, BLOCK_BYTES):
         raw = data.tobytes()
         keys, heads, texts = [], [], []
@@ -196,7 +218,7 @@ def _cut_out(batches: Iterable[pa.RecordBatch], length: int, buckets: int) -> It
             for bucket in np.unique(to).tolist():
                 which = np.flatnonzero(to == bucket)
                 keys.append(bucket)
-                heads.append(np.stack([np.full(len(which), doc), a[which] - lo, b[which] - a[which]], axis=1).astype(np.int64).tobytes())
+                heads.append(np.stack([np.full(len(which), doc), a[which] - lo, b[which] - a[which], pairs["end"][which]], axis=1).astype(np.int64).tobytes())
                 texts.append(b"".join([raw[x:y] for x, y in zip(a[which].tolist(), b[which].tolist(), strict=True)]))
         if keys:
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(heads, pa.binary()), pa.array(texts, pa.binary())], ["bucket", "head", "bytes"])
@@ -293,11 +315,32 @@ class RunLengthIndex:
 
 
 def _index_bucket(rows: pa.Table, length: int) -> pa.Table:
-    """Spans of a bucket's surroundings that repeat what starts earlier in another."""
-    head = np.concatenate([np.frombuffer(h, np.int64).reshape(-1, 3) for h in rows.column("head").to_pylist()])
+    """Spans of a bucket's surroundings that repeat what starts earlier in another: anchor by anchor, as many anchors
+    to an index as INDEX_BYTES hold."""
+    head = np.concatenate([np.frombuffer(h, np.int64).reshape(-1, 4) for h in rows.column("head").to_pylist()])
     data = np.frombuffer(b"".join(rows.column("bytes").to_pylist()), np.uint8)
     offsets = np.r_[0, np.cumsum(head[:, 2])]
-    index = RunLengthIndex(data, offsets, length)
+    order = np.lexsort((head[:, 1], head[:, 0], head[:, 3]))
+    ends = np.flatnonzero(np.r_[head[order[1:], 3] != head[order[:-1], 3], True]) + 1  # of the anchors
+    size = np.cumsum(head[order, 2])
+    found_doc, found_pos, at = [], [], 0
+    while at < len(order):
+        before = size[at - 1] if at else 0
+        whole = ends[(ends > at) & (size[ends - 1] <= before + INDEX_BYTES)]
+        to = int(whole[-1]) if len(whole) else int(ends[ends > at][0])
+        mine = order[at:to]
+        sizes = head[mine, 2]
+        own = np.r_[0, np.cumsum(sizes)]
+        text = data[np.repeat(offsets[mine] - own[:-1], sizes) + np.arange(int(own[-1]))]
+        doc, pos = _repeated_starts(RunLengthIndex(text, own, length), head[mine])
+        found_doc.append(doc)
+        found_pos.append(pos)
+        at = to
+    doc, pos = np.concatenate(found_doc), np.concatenate(found_pos)
+    return pa.Table.from_batches([_rows("spans", _span_rows(doc, pos, pos + length))])
+
+
+def _repeated_starts(index: RunLengthIndex, head: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     text = np.repeat(np.arange(len(head)), index.sizes + 1)
     pos = head[text, 1] + np.arange(len(index.symbol)) - index.starts[text]
     doc = head[text, 0]
@@ -306,7 +349,7 @@ def _index_bucket(rows: pa.Table, length: int) -> pa.Table:
     key = np.empty(len(order), np.int64)
     key[order] = np.cumsum(np.r_[0, (doc[order][1:] != doc[order][:-1]) | (pos[order][1:] != pos[order][:-1])])
     found = index.repeats(key)
-    return pa.Table.from_batches([_rows("spans", _span_rows(doc[found], pos[found], pos[found] + length))])
+    return doc[found], pos[found]
 
 
 def _finish(batches: Iterable[pa.RecordBatch], length: int, keep_text: bool) -> Iterator[pa.RecordBatch]:
@@ -354,17 +397,17 @@ def remove_repeats(docs: DataFrame, length: int = 100, keep_text: bool = False)
     spark = docs.sparkSession
     buckets = shuffle_partitions(spark)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    schema = "key long, kind string, data binary"
-    sent = save(source.mapInArrow(partial(_exchange, length=length, buckets=buckets), schema), "anchors")
-    solved = save(sent.where("kind = 'anchors'").groupBy("key").applyInArrow(lambda rows: _resolve(rows), schema), "resolved")
-    asked = solved.where("kind = 'asked'").groupBy("key").agg(F.collect_list("data").alias("asked"))
+    schema = "bucket long, key long, kind string, data binary"
+    sent = source.mapInArrow(partial(_exchange, length=length, buckets=buckets), schema)
+    solved = save(sent.groupBy("bucket").applyInArrow(lambda rows: _resolve(rows), schema).drop("bucket"), "resolved")
+    asked = save(solved.where("kind = 'asked'").groupBy("key").agg(F.collect_list("data").alias("asked")), "asked")
     keyed = source.withColumn("key", F.coalesce("doc_id", F.lit(_ANY_DOC)))
-    firsts = keyed.join(asked, "key").select(F.col("key").alias("doc_id"), "text", "asked")
+    size = "aggregate({}, 16L, (s, x) -> s + length(x))".format
+    firsts = keyed.join(small_side(asked, size("asked"), BROADCAST_BYTES), "key").select(F.col("key").alias("doc_id"), "text", "asked")
     cut = firsts.mapInArrow(partial(_cut_out, length=length, buckets=buckets), "bucket long, head binary, bytes binary")
-    matched = cut.groupBy("bucket").applyInArrow(lambda rows: _index_bucket(rows, length), schema)
-    spans = sent.where("kind = 'spans'").unionByName(matched).unionByName(solved.where("kind = 'covered'"))
-    when = lambda test: F.collect_list(F.when(test, F.col("data")))
-    spans = spans.groupBy("key").agg(when(F.col("kind") == "covered").alias("covered"), when(F.col("kind") == "spans").alias("spans"))
-    joined = keyed.join(spans, "key", "left").select("doc_id", "text", "covered", "spans")
+    matched = cut.groupBy("bucket").applyInArrow(lambda rows: _index_bucket(rows, length), schema).drop("bucket")
+    when = lambda kind: F.collect_list(F.when(F.col("kind") == kind, F.col("data"))).alias(kind)
+    spans = save(matched.unionByName(solved.where("kind <> 'asked'")).groupBy("key").agg(when("covered"), when("spans")), "spans")
+    joined = keyed.join(small_side(spans, size("concat(covered, spans)"), BROADCAST_BYTES), "key", "left").select("doc_id", "text", "covered", "spans")
     out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if keep_text else "")
     return joined.mapInArrow(partial(_finish, length=length, keep_text=keep_text), out)
