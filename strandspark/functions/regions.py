@@ -137,3 +137,10 @@ def from_cigar(pos: Column, ops: Column) -> Column:
 
 def text(v: Column) -> Column:
     return F.array_join(F.transform(v, lambda r: F.concat(r["start"].cast("string"), F.lit("-"), r["end"].cast("string"))), ",")
+
+
+def diagonal_gaps(read: Column, genome: Column, mapped_read: Column, mapped_genome: Column) -> Column:
+    """Gaps of a diagonal's paired regions that no mapped region overlaps: array<struct<read, genome>>."""
+    both = F.arrays_zip(gaps(read).alias("read"), gaps(genome).alias("genome"))
+    free = lambda g: ~overlaps_any(mapped_read, g["read"]["start"], g["read"]["end"]) & ~overlaps_any(mapped_genome, g["genome"]["start"], g["genome"]["end"])
+    return F.filter(both, lambda g: (g["read"]["end"] > g["read"]["start"]) & free(g))

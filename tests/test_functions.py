@@ -114,3 +114,12 @@ def test_paths_and_clusters(spark):
     assert [(r["start"], r["end"], r["evidence"]) for r in introns.cluster_gaps(gaps, 100).collect()] == [(100, 200, 11)]
     tree = embedding.average_linkage({("a", "b"): 2.0, ("a", "c"): 6.0, ("b", "c"): 4.0})
     assert tree == [("a", "b", 1.0), ("(a,b)", "c", 2.5)]
+
+
+def test_gaps_in_a_diagonal(spark):
+    mapped_r, mapped_g = [(100, 110), (110, 120), (130, 140), (190, 200)], [(1000, 1010), (1010, 1020), (1030, 1040), (1090, 1100)]
+    cases = [([(0, 10), (40, 50)], 900, [(10, 40)]), ([(0, 10)], 900, []), ([(0, 10), (40, 50), (80, 90), (120, 130)], 900, [(10, 40), (50, 80)])]
+    for read, shift, want in cases:
+        df = spark.createDataFrame([(read, [(s + shift, e + shift) for s, e in read], mapped_r, mapped_g)], f"a {R.KIND}, b {R.KIND}, c {R.KIND}, d {R.KIND}")
+        got = df.select(R.diagonal_gaps(F.col("a"), F.col("b"), F.col("c"), F.col("d")).alias("g")).first()["g"]
+        assert pairs([g["read"] for g in got]) == want and pairs([g["genome"] for g in got]) == [(s + shift, e + shift) for s, e in want]
