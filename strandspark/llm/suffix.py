@@ -29,8 +29,8 @@ from strandspark.llm.common import byte_blocks, save, shuffle_partitions, small_
 ANCHOR = 32
 #: Text bytes hashed at once, and text bytes whose anchors a task gathers before it sends them.
 BLOCK_BYTES, SEND_BYTES = 1 << 20, 32 << 20
-#: Bytes of surroundings indexed at once (those of one anchor stay together).
-INDEX_BYTES = 1 << 20
+#: Bytes of surroundings looked at at once (those of one anchor stay together).
+INDEX_BYTES = 2 << 20
 #: Bytes of spans or positions that may be broadcast to the texts; beyond them the texts are shuffled.
 BROADCAST_BYTES = 24 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -259,7 +259,7 @@ class RunLengthIndex:
         """Suffix order by prefix doubling; marks differ, so ranks are distinct once `depth` symbols are looked at."""
         n = len(symbol)
         rank, have = symbol, 1
-        order = np.argsort(rank, kind="stable")
+        order = np.argsort(rank)
         while True:
             key = rank[order]
             rank = np.empty(n, np.int64)
@@ -268,36 +268,29 @@ class RunLengthIndex:
                 return order
             after = np.r_[rank[have:] + 1, np.zeros(min(have, n), np.int64)][:n]
             rank = rank * (n + 1) + after
-            order = np.argsort(rank, kind="stable")
+            order = np.argsort(rank)
             have *= 2
 
     def _common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Common prefix lengths, counted up to depth."""
+        """Common prefix lengths; the marks differ, so they end within the longest text."""
         out = np.zeros(len(a), np.int64)
-        live = np.arange(len(a))
-        wide = np.r_[self.symbol, np.full(self.depth + 1, -1, np.int64)]
-        for k in range(self.depth):
+        live = np.flatnonzero(a != b)
+        wide = np.r_[self.symbol, -1 - np.arange(2)]
+        k = 0
+        while len(live):
             live = live[wide[a[live] + k] == wide[b[live] + k]]
-            if not len(live):
-                break
             out[live] += 1
+            k += 1
         return out
 
     def matching_statistics(self) -> tuple[np.ndarray, np.ndarray]:
-        """For every position the suffix before it in order, and what they share (exact up to depth).
+        """For every position the suffix before it in order, and what they share.
 
-        Between samples both follow by steps: the neighbour moves on by one and the shared length falls by one. A
-        sample whose length was counted only up to depth stands for at least that, so longer stretches are extended
-        by the direct count.
+        Between samples both follow by steps: the neighbour moves on by one and the shared length falls by one.
         """
         at = np.searchsorted(self.sample, np.arange(len(self.symbol)), "right") - 1
         step = np.arange(len(self.symbol)) - self.sample[at]
-        near = self.before[at] + step
-        shared = self.length_at[at] - step
-        open_ = np.flatnonzero((self.length_at[at] >= self.depth) & (shared < self.depth))
-        if len(open_):
-            shared[open_] = self._common(open_, near[open_])
-        return near, shared
+        return self.before[at] + step, self.length_at[at] - step
 
     def repeats(self, order_key: np.ndarray) -> np.ndarray:
         """Positions whose `depth` bytes also start at a position with a smaller order key."""
@@ -332,14 +325,36 @@ def _index_bucket(rows: pa.Table, length: int) -> pa.Table:
         sizes = head[mine, 2]
         own = np.r_[0, np.cumsum(sizes)]
         text = data[np.repeat(offsets[mine] - own[:-1], sizes) + np.arange(int(own[-1]))]
-        doc, pos = _repeated_starts(RunLengthIndex(text, own, length), head[mine])
-        found_doc.append(doc)
-        found_pos.append(pos)
+        keep = _with_shared_string(text, own, length)
+        if keep.any():
+            text, mine = text[np.repeat(keep, sizes)], mine[keep]
+            doc, pos = _repeated_starts(RunLengthIndex(text, np.r_[0, np.cumsum(sizes[keep])], length), head[mine])
+            found_doc.append(doc)
+            found_pos.append(pos)
         at = to
+    if not found_doc:
+        return pa.Table.from_batches([_rows("spans", [])])
     doc, pos = np.concatenate(found_doc), np.concatenate(found_pos)
     return pa.Table.from_batches([_rows("spans", _span_rows(doc, pos, pos + length))])
 
 
+def _with_shared_string(text: np.ndarray, own: np.ndarray, length: int) -> np.ndarray:
+    """Surroundings with a string of `length` bytes whose hash occurs twice: only those can repeat another."""
+    if len(text) < length:
+        return np.zeros(len(own) - 1, bool)
+    value, power, back = _tables(max(len(text) + 1, BLOCK_BYTES + 1))
+    total = np.zeros(len(text) + 1, np.uint64)
+    np.cumsum(value[text] * power[: len(text)], out=total[1:])
+    h = (total[length:] - total[:-length]) * back[: len(text) - length + 1]
+    of = np.repeat(np.arange(len(own) - 1), np.diff(own))[: len(h)]
+    inside = np.flatnonzero(np.arange(len(h)) + length <= own[of + 1])
+    order = inside[np.argsort(h[inside])]
+    same = h[order[1:]] == h[order[:-1]]
+    keep = np.zeros(len(own) - 1, bool)
+    keep[of[order[1:][same]]] = keep[of[order[:-1][same]]] = True
+    return keep
+
+
 def _repeated_starts(index: RunLengthIndex, head: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     text = np.repeat(np.arange(len(head)), index.sizes + 1)
     pos = head[text, 1] + np.arange(len(index.symbol)) - index.starts[text]
