@@ -256,9 +256,10 @@ def test_lines_shuffled_joins_agree(docs, monkeypatch):
 
 def test_line_prints_match_brute_force(spark):
     samples = [prose(n) for n in (5, 40, 63, 64, 200, 1500)]
-    got = spark.createDataFrame([(s,) for s in samples], "l string").select("l", lines.simhash(F.col("l")).alias("fp")).collect()
+    got = lines.simhash(spark.createDataFrame([(s, s.split(" ")) for s in samples], "id string, l array<string>"), ["id"], "l").collect()
+    assert len(got) == len(samples)
     for r in got:
-        h = [xxhash.xxh64_intdigest(w.encode(), 42) for w in r["l"].split(" ")]
+        h = [xxhash.xxh64_intdigest(w.encode(), 42) for w in r["id"].split(" ")]
         assert r["fp"] % (1 << 64) == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
