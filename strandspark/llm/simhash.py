@@ -24,12 +24,11 @@ _LOWER[65:91] += 32
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def fingerprints(data: np.ndarray, offsets: np.ndarray, width: int = 3, seed: int = 42) -> np.ndarray:
-    """64-bit SimHash of each text in a byte block: majority of the bits of its word shingles' XXH64 values."""
+def shingle_hashes(data: np.ndarray, offsets: np.ndarray, width: int = 3, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
+    """XXH64 values of the word shingles of each text in a byte block, with repeats, and the text each is of."""
     n = len(offsets) - 1
-    out = np.zeros(n, np.uint64)
     if not len(data):
-        return out
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     space = IS_SPACE[data]
     first = np.zeros(len(data), bool)
     first[offsets[:-1][offsets[:-1] < len(data)]] = True
@@ -42,7 +41,7 @@ def fingerprints(data: np.ndarray, offsets: np.ndarray, width: int = 3, seed: in
     to = np.cumsum(keep) - 1
     starts = np.flatnonzero(start)
     if not len(starts):
-        return out
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     doc = np.searchsorted(offsets, starts, "right") - 1
     last = np.empty(len(data), bool)
     last[-1] = True
@@ -58,7 +57,15 @@ def fingerprints(data: np.ndarray, offsets: np.ndarray, width: int = 3, seed: in
     last_of = np.where(whole[first_of], head[doc[first_of]] + per[doc[first_of]] - 1, first_of + width - 1)
     raw, h = clean.tobytes(), xxhash.xxh64_intdigest
     hashes = np.fromiter((h(raw[a:b], seed) for a, b in zip(starts[first_of].tolist(), ends[last_of].tolist(), strict=True)), np.uint64, len(first_of))
-    owner = doc[first_of]
+    return hashes, doc[first_of]
+
+
+def fingerprints(data: np.ndarray, offsets: np.ndarray, width: int = 3, seed: int = 42) -> np.ndarray:
+    """64-bit SimHash of each text in a byte block: majority of the bits of its word shingles' XXH64 values."""
+    n = len(offsets) - 1
+    hashes, owner = shingle_hashes(data, offsets, width, seed)
+    if not len(hashes):
+        return np.zeros(n, np.uint64)
     step = 1 << 18
     ones = np.zeros((n, 64), np.int64)
     for at in range(0, len(hashes), step):

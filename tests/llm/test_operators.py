@@ -12,7 +12,7 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from strandspark.llm import attention, bpe, chat, fertility, flac, lines, mixing, sharding, simhash, suffix
+from strandspark.llm import attention, bpe, chat, fertility, flac, lines, mixing, sharding, shingles, simhash, suffix
 from strandspark.llm.components import connected_components
 
 KIND = "doc_id long, text string, lang string, source string, n_chars long"
@@ -133,6 +133,34 @@ def test_simhash_matches_brute_force(docs, texts, empty):
     assert simhash.simhash_groups(empty).count() == 0
 
 
+def test_shingle_groups_match_brute_force(spark, docs, texts, empty, monkeypatch):
+    rng = random.Random(21)
+    many = dict(texts)
+    for k in range(12):
+        words = [f"{rng.choice(WORDS)}{rng.randrange(300)}" for _ in range(rng.choice([30, 120, 400]))]
+        for j in range(5):
+            changed = list(words)
+            for _ in range(j * len(words) // 90):  # about Jaccard 1 to 0.65
+                changed[rng.randrange(len(words))] = f"new{rng.randrange(10**6)}"
+            many[100 + 10 * k + j] = " ".join(changed)
+
+    def grams(text):
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        return {tuple(words[i : i + 5]) for i in range(max(len(words) - 4, min(1, len(words))))}
+
+    sets = {i: grams(t) for i, t in many.items()}
+    near = lambda a, b: sets[a] == sets[b] or 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])
+    want = brute_components(list(many), near)
+    unlike = [(a, b) for a in many for b in many if a < b and near(a, b) and sets[a] != sets[b]]
+    prints = {i: brute_print(t, 5) for i, t in many.items()}
+    assert sum(bin(prints[a] ^ prints[b]).count("1") > 3 for a, b in unlike) > 10  # pairs that radius 3 does not see
+    df = spark.createDataFrame(list(many.items()), "doc_id long, text string").repartition(3)
+    for hot in (64, 2):
+        monkeypatch.setattr(shingles, "HOT", hot)
+        assert {i: r["component_id"] for i, r in by_id(shingles.shingle_groups(df)).items()} == want
+    assert shingles.shingle_groups(docs).count() == docs.count() and shingles.shingle_groups(empty).count() == 0
+
+
 def test_links_of_large_buckets(spark):
     rng = np.random.default_rng(2)
     base = rng.integers(0, 1 << 63, 3, dtype=np.uint64)
