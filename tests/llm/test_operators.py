@@ -310,6 +310,20 @@ def test_fertility_base_rules(docs, texts, empty):
     assert got[3]["kept"] and fertility.fertility_rules(empty, P.path("piece_bpe_32k.model")).count() == 0
 
 
+def test_fertility_bands_reject_junk(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    got = fertility.fertility_rules(docs, P.path("piece_bpe_32k.model")).where("not base_failed").join(labels.select("doc_id", "quality"), "doc_id")
+    kept = {r["quality"]: (r["n"], r["k"]) for r in got.groupBy("quality").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("kept").cast("int")).alias("k")).collect()}
+    assert kept[0][0] >= 20 and kept[0][1] <= 0.2 * kept[0][0], kept
+    assert kept[1][1] >= 0.97 * kept[1][0], kept
+    clean = docs.join(labels.where("quality = 1"), "doc_id").where("lang = 'en' and n_chars > 1500").orderBy("doc_id").first()["text"]
+    words = clean.split()
+    junk = {1: clean, 2: " ".join(w + "***" for w in words), 3: " | ".join(words), 4: " ".join(f"{w}{'$#%&'[i % 4] * 3}" for i, w in enumerate(words))}
+    df = spark.createDataFrame(list(junk.items()), "doc_id long, text string")  # without a column lang
+    assert {i: r["kept"] for i, r in by_id(fertility.fertility_rules(df, P.path("piece_bpe_32k.model"))).items()} == {1: True, 2: False, 3: False, 4: False}
+
+
 def test_attention_learns_and_scores_all(spark, docs, empty):
     rows, marks = [], []
     for i in range(300):
