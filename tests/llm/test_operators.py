@@ -276,6 +276,47 @@ def test_lines_keep_one_of_each_group(spark, docs, empty):
     assert lines.dedup_lines(docs).count() == docs.count() and lines.dedup_lines(empty).count() == 0
 
 
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def check_lines(spark, rng, lines_, near):
+    """The lines that go, one line a document, equal those by brute force."""
+    lines_ = sorted(set(lines_))
+    rng.shuffle(lines_)
+    root = brute_components(list(range(len(lines_))), lambda a, b: near(lines_[a], lines_[b]))
+    df = spark.createDataFrame(list(enumerate(lines_)), "doc_id long, text string").repartition(3)
+    got = by_id(lines.dedup_lines(df))
+    assert {i for i in got if got[i]["n_removed"]} == {i for i, r in root.items() if r != i}
+    assert any(r != i for i, r in root.items()) and any(r == i for i, r in root.items())
+
+
+def changed(rng, items, times, new):
+    items = list(items)
+    for _ in range(times):
+        at = rng.randrange(len(items))
+        items[at : at + rng.choice([0, 1, 1])] = rng.choice([[], [new()], [new()]])
+    return items
+
+
+def test_near_lines_match_brute_force(spark):
+    rng = random.Random(31)
+    new = lambda: rng.choice(WORDS[:10]) + rng.choice("abcdefgh") * rng.randrange(3)
+    out = [" ".join(["so"] * n) for n in (5, 6, 9)]
+    for n in (5, 6, 8, 12, 20, 33):
+        for _ in range(4):
+            base = [new() for _ in range(n)]
+            out += [" ".join(changed(rng, base, k, new)) for k in (0, n // 6 + 1, n // 5, n // 4)]
+    out = [" ".join(x.lower().replace("'", " ").replace("-", " ").split()) for x in out]
+    out = [x for x in out if len(x.split()) >= 5]
+    check_lines(spark, rng, out, lambda a, b: edit_distance(a.split(), b.split()) <= max(len(a.split()), len(b.split())) * 0.2 + 1e-9)
+
+
 def test_lines_shuffled_joins_agree(docs, monkeypatch):
     a = sorted(map(str, lines.dedup_lines(docs).collect()))
     monkeypatch.setattr(lines, "BROADCAST_ROWS", -1)
