@@ -317,6 +317,18 @@ def test_near_lines_match_brute_force(spark):
     check_lines(spark, rng, out, lambda a, b: edit_distance(a.split(), b.split()) <= max(len(a.split()), len(b.split())) * 0.2 + 1e-9)
 
 
+def test_lines_of_few_words_match_brute_force(spark):
+    rng = random.Random(32)
+    out = ["a" * 47, "a" * 52]
+    for n in (5, 8, 15, 24, 40, 47, 52, 90):
+        for letters in ("abcdefghijklmnop", "天地玄黃宇宙洪荒日月盈昃辰宿列張"):
+            base = [rng.choice(letters) for _ in range(n)]
+            out += ["".join(changed(rng, base, k, lambda letters=letters: rng.choice(letters))) for k in (0, 1, n // 6, n // 5, n // 4)]
+    out += ["Internationalisation considerations regarding documentation", "Internationalisation considerations regardng documentation"]
+    out = [x.lower() for x in out if x]
+    check_lines(spark, rng, out, lambda a, b: edit_distance(a, b) <= max(len(a), len(b)) * 0.2 + 1e-9)
+
+
 def test_lines_shuffled_joins_agree(docs, monkeypatch):
     a = sorted(map(str, lines.dedup_lines(docs).collect()))
     monkeypatch.setattr(lines, "BROADCAST_ROWS", -1)
