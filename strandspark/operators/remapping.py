@@ -138,12 +138,12 @@ def shifted(read: str, a: Alignment, router: Router, mapper: ReadMapper) -> list
                 new = a.copy()
                 new.blocks[k - 1], new.blocks[k] = (s1, e1 + off, g1), (s2 + off, e2, g2 + off)
                 new.mismatches = {r for s, e, g in new.blocks for r in range(s, e) if read[r] != router.seq[g + r - s]}
-                if len(new.mismatches) <= mapper.budget(read):
+                if mapper.allowed(new, read, {}):
                     out.append(new)
     return out
 
 
-def remap_reads(alignments: DataFrame, reads: DataFrame, targets: DataFrame, introns: DataFrame, config: MapperConfig) -> DataFrame:
+def remap_reads(alignments: DataFrame, reads: DataFrame, targets: DataFrame, introns: DataFrame, config: MapperConfig, mask: DataFrame | None = None) -> DataFrame:
     """Second-pass alignments: complete first-pass ones, and all that :func:`remap` and :func:`shifted` find, each once."""
     rows = targets.select("target_id", "seq").orderBy("target_id").collect()  # the loci of a run
     if sum(2 * len(r["seq"]) for r in rows) > TARGET_BYTES:
@@ -155,13 +155,14 @@ def remap_reads(alignments: DataFrame, reads: DataFrame, targets: DataFrame, int
         size = len(strands[2 * ids.index(r["target_id"])])
         known.setdefault(2 * ids.index(r["target_id"]), []).append((r["start"], r["end"]))
         known.setdefault(2 * ids.index(r["target_id"]) + 1, []).append((size - r["end"], size - r["start"]))
+    items = [(r["seq_index"], r["start"], r["end"], r["threshold"]) for r in mask.select("seq_index", "start", "end", "threshold").collect()] if mask is not None else []
     shared = alignments.sparkSession.sparkContext.broadcast((ids, strands, known))
     names = ["read_ord", "mate", "qname", "target_id", "seq_index", "alt", "complete", "pos", "cigar", "mismatches", "anchor", "blocks"]
 
     def work(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, strands, known = shared.value
         mapper = ReadMapper.__new__(ReadMapper)
-        mapper.strands, mapper.config, mapper.mask, mapper.postings = strands, config, [], {}
+        mapper.strands, mapper.config, mapper.mask, mapper.postings = strands, config, items, {}
         routers = {i: Router(s, known.get(i, [])) for i, s in enumerate(strands)}
         for batch in batches:
             out = []

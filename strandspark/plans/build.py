@@ -79,7 +79,7 @@ def map_files(spark: SparkSession, index: str, first: str, second: str | None, c
         sure = found.join(introns.confident_pairs(found, config).select("read_ord"), "read_ord", "left_semi").where("complete") if second else found.where("complete")
         jumps = introns.cluster_gaps(introns.gap_evidence(introns.gaps_of(sure, targets, config)), config.confident_delta)
         jumps.write.mode("overwrite").parquet(f"{out}/introns")
-        found = remap_reads(found, reads, targets, spark.read.parquet(f"{out}/introns"), config)
+        found = remap_reads(found, reads, targets, spark.read.parquet(f"{out}/introns"), config, mask)
     sam = introns.to_sam(found, reads, targets, paired=bool(second))
     lines = X.sam_line(sam).select(F.lit(1).alias("part"), "value")
     header = X.sam_header(targets).select(F.lit(0).alias("part"), "value")

@@ -41,3 +41,18 @@ def test_both_strands_through_tables(spark):
     for r in M.remap_reads(first, reads, targets, introns, RNA).collect():
         got.setdefault(r["qname"], set()).add((r["pos"], r["cigar"]))
     assert (890, "110=400N7=") in got["a"] and (890, "110=400N7=") in got["b"] and (0, "150=") in got["c"]
+
+
+def test_mask_rejects_a_rerouted_read(spark):
+    targets = spark.createDataFrame([(0, GENE)], "target_id int, seq string")
+    introns = spark.createDataFrame([(0, *INTRON)], "target_id int, start long, end long")
+    wrong = "A" if GENE[950] != "A" else "C"
+    read = GENE[890:950] + wrong + GENE[951:1000] + GENE[1400:1407]
+    reads = spark.createDataFrame([(0, 1, "a", read)], "read_ord long, mate int, qname string, seq string")
+    first = map_reads(reads, targets, RNA)
+    mask = spark.createDataFrame([(0, 940, 960, 1)], "seq_index int, start long, end long, threshold int")
+    rerouted = lambda m: [r for r in M.remap_reads(first, reads, targets, introns, RNA, m).collect() if "400N" in r["cigar"]]
+    assert rerouted(None) and not rerouted(mask)
+    a = Alignment(0, [(0, 108, 890), (108, 117, 1398)], complete=True)
+    mapper = ReadMapper([GENE, other_strand(GENE)], RNA, [(0, 940, 960, 1)])
+    assert not M.shifted(read, a, M.Router(GENE, [INTRON]), mapper)
