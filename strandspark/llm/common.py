@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -26,9 +27,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, a session with a local
+    master gets a temporary one, and any other an error: its executors would not see each other's files."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.conf.get("spark.master", "")
+        if not re.match(r"local(\[|$)", master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="strandspark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -38,19 +43,33 @@ def save(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write `df` as Parquet in the shared folder and return it reread. Survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/strandspark/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._saved_at = path
     return out
 
 
-def forget(df: DataFrame | None) -> None:
-    """Delete a table made by :func:`save` that no later read needs."""
-    path = getattr(df, "_saved_at", None)
-    if path:
-        spark = df.sparkSession
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+def save_bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """Like :func:`save`, in buckets of `key`: later joins and groups by it do not shuffle the table again."""
+    spark = df.sparkSession
+    mark = uuid.uuid4().hex
+    path, view = f"{shared_dir(spark)}/strandspark/{name}-{mark}", f"strandspark_{mark}"
+    df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(shuffle_partitions(spark), key).saveAsTable(view)
+    out = spark.table(view)
+    out._saved_at, out._saved_as = path, view
+    return out
+
+
+def forget(*tables: DataFrame | None) -> None:
+    """Delete tables made by :func:`save` or :func:`save_bucketed` that no later read needs."""
+    for df in tables:
+        path = getattr(df, "_saved_at", None)
+        if path:
+            spark = df.sparkSession
+            if hasattr(df, "_saved_as"):
+                spark.sql(f"DROP TABLE IF EXISTS {df._saved_as}")
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def small_side(df: DataFrame, size: str, limit: int) -> DataFrame:

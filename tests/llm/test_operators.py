@@ -276,6 +276,34 @@ def test_lines_keep_one_of_each_group(spark, docs, empty):
     assert lines.dedup_lines(docs).count() == docs.count() and lines.dedup_lines(empty).count() == 0
 
 
+def test_lines_of_rows_that_share_an_id(spark):
+    rows = [(1, "alpha beta\nkeep one"), (2, "alpha beta\nunique second row"), (2, "quite another line\nother"), (None, "first of none\nalpha beta"), (None, "another of none\nfinal")]
+    rows += [(7, "twice the same row"), (7, "twice the same row")]
+    got = sorted((r["doc_id"] or 99, r["text"]) for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    want = [(1, "alpha beta\nkeep one"), (2, "unique second row"), (2, "quite another line\nother"), (99, "first of none"), (99, "another of none\nfinal")]
+    assert got == sorted(want + [(7, "twice the same row")] * 2)
+
+
+def test_lines_of_a_very_long_text(spark):
+    long = "\n".join(f"row {i} holds {i * 7919 % 10007} and {i * 104729 % 99991} words x{i}" for i in range(40_000))
+    got = by_id(lines.dedup_lines(spark.createDataFrame([(1, "w " * 300_000 + "end"), (2, "row 5 holds 1\n" + "w " * 300_000 + "end"), (3, long)], "doc_id long, text string")))
+    assert got[2]["text"] == "row 5 holds 1" and got[1]["n_removed"] == 0 and got[3]["n_lines"] == 40_000
+
+
+def test_long_near_lines_are_found(spark):
+    """Recall of pairs of long lines that are just similar enough, with words that occur nowhere else put in."""
+    rng, rows = random.Random(33), []
+    for i in range(150):
+        n = rng.choice([20, 40, 80])
+        base = [rng.choice("ouhe thand erin stha".split()) + str(rng.randrange(400)) for _ in range(n)]
+        other = list(base)
+        for at in rng.sample(range(n), n // 5):
+            other[at] = f"new{i}x{at}"
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(other))]
+    got = by_id(lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert sum(got[2 * i + 1]["n_removed"] for i in range(150)) >= 0.9 * 150
+
+
 def edit_distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -331,19 +359,10 @@ def test_lines_of_few_words_match_brute_force(spark):
 
 def test_lines_shuffled_joins_agree(docs, monkeypatch):
     a = sorted(map(str, lines.dedup_lines(docs).collect()))
-    monkeypatch.setattr(lines, "BROADCAST_ROWS", -1)
+    monkeypatch.setattr(lines, "BROADCAST_BYTES", -1)
     assert sorted(map(str, lines.dedup_lines(docs).collect())) == a
 
 
-def test_line_prints_match_brute_force(spark):
-    samples = [prose(n) for n in (5, 40, 63, 64, 200, 1500)]
-    got = lines.simhash(spark.createDataFrame([(s, s.split(" ")) for s in samples], "id string, l array<string>"), ["id"], "l").collect()
-    assert len(got) == len(samples)
-    for r in got:
-        h = [xxhash.xxh64_intdigest(w.encode(), 42) for w in r["id"].split(" ")]
-        assert r["fp"] % (1 << 64) == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
-
-
 def test_fertility_base_rules(docs, texts, empty):
     got = by_id(fertility.fertility_rules(docs, P.path("piece_bpe_32k.model")))
     for i, t in texts.items():
