@@ -332,12 +332,14 @@ def changed(rng, items, times, new):
     return items
 
 
-def test_near_lines_match_brute_force(spark):
+@pytest.mark.parametrize("sizes, most", [((5, 6, 8, 12, 15), lines.WORD_PAIRS), ((5, 8, 12, 20, 33), 1 << 30)])
+def test_near_lines_match_brute_force(spark, monkeypatch, sizes, most):
+    monkeypatch.setattr(lines, "WORD_PAIRS", most)
     rng = random.Random(31)
     new = lambda: rng.choice(WORDS[:10]) + rng.choice("abcdefgh") * rng.randrange(3)
     out = [" ".join(["so"] * n) for n in (5, 6, 9)]
-    for n in (5, 6, 8, 12, 20, 33):
-        for _ in range(4):
+    for n in sizes:
+        for _ in range(5):
             base = [new() for _ in range(n)]
             out += [" ".join(changed(rng, base, k, new)) for k in (0, n // 6 + 1, n // 5, n // 4)]
     out = [" ".join(x.lower().replace("'", " ").replace("-", " ").split()) for x in out]
