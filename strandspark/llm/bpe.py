@@ -1,12 +1,10 @@
 """Byte-level BPE: ranked merges folded by Spark higher-order functions over the bytes of distinct words.
 
-Documents are gathered, task by task, into chunks of bounded size. A chunk row holds its distinct words (the matches
-of the split pattern, so far as they differ) and each document as indexes into them. Spark expressions fold the merges
-over each distinct word against a literal rank map and decode the ids by concatenating pieces; the chunk is then read
-back into documents. There is no shuffle and nothing is broadcast but the vocabulary's own literal.
-
-Bytes are carried as strings of the code points U+0000 to U+00FF, one a byte, since Spark's map and array literals
-can be parsed from JSON as strings.
+Each task gathers its documents into chunks of bounded size. A chunk row holds the words (the matches of the split
+pattern) that the task has not met before, and every document as numbers of words. Spark expressions fold the merges over
+each new word against a literal rank map; the chunk is then read back into documents by the same task, which remembers the
+ids of its words and decodes by concatenating binary pieces. Words that are common in a sample are folded once and
+broadcast, which saves work and changes no result. Documents are not shuffled.
 """
 
 from __future__ import annotations
@@ -20,18 +18,22 @@ from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache, partial
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
+from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Buckets of the literal rank map: a lookup scans the few entries of one bucket.
-BUCKETS = 1 << 14
+from strandspark.llm.common import byte_blocks, text_bytes
+
 #: The rank of a pair that does not merge. Both ends of a word are marked by the id after the last, which merges with none.
 NONE = 2**31 - 1
-#: Text bytes of a chunk (one longer document makes a chunk of its own).
-CHUNK_BYTES = 12 << 20
+#: Text bytes of a chunk (one longer document makes a chunk of its own), and words that a task remembers before it begins anew.
+CHUNK_BYTES, TASK_WORDS = 6 << 20, 1 << 20
+#: Words that are folded once for all tasks, and about how many bytes of text they are looked for in.
+COMMON_WORDS, SAMPLE_BYTES = 1 << 19, 128 << 20
 #: White space other than single blanks or line feeds between words: such texts are split by the pattern itself.
 _ODD = re.compile(r"\s\s|^\s|\s\Z|[^\S \n]")
 
@@ -80,18 +82,10 @@ def _pair_table(path: str) -> tuple[list[int], list[int]]:
 
 
 def rank_literals(path: str) -> Column:
-    """A struct of literals that Catalyst folds once: the rank map of neighbouring ids (base, pairs), the ranks of
-    whole pieces in buckets by CRC-32 (whole), and the pieces by rank (pieces)."""
-    ranks = read_ranks(path)
+    """The rank map of neighbouring ids as a struct of literals that Catalyst folds once: (base, pairs)."""
     base, pairs = _pair_table(path)
-    maps: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
-    pieces = [""] * (max(ranks.values()) + 1)
-    for piece, rank in ranks.items():
-        text = piece.decode("latin-1")
-        maps[zlib.crc32(text.encode()) % BUCKETS][text] = rank
-        pieces[rank] = text
     parsed = lambda value, kind: F.from_json(F.lit(json.dumps(value, separators=(",", ":"))), kind)
-    return F.struct(parsed(base, "array<int>").alias("base"), parsed(pairs, "array<bigint>").alias("pairs"), parsed(maps, "array<map<string,int>>").alias("whole"), parsed(pieces, "array<string>").alias("pieces"))
+    return F.struct(parsed(base, "array<int>").alias("base"), parsed(pairs, "array<bigint>").alias("pairs"))
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -129,112 +123,243 @@ def fold_merges(tables: Column, word: Column) -> Column:
     return _let(folded, lambda parts: F.slice(parts, F.lit(2), F.size(parts) - 2))
 
 
-def _pieces_of(pattern: regex.Pattern, segment: str) -> list[str]:
-    return [p.encode().decode("latin-1") for p in pattern.findall(segment)]
-
-
-def _chunks(batches: Iterable[pa.RecordBatch], pattern: str, byte_ids: list[int], limit: int) -> Iterator[pa.RecordBatch]:
-    find, end, id_of = regex.compile(pattern), byte_ids[-1], np.array(byte_ids[:256], np.int32)
-    ids: list[int | None] = []
-    at: dict[str, int] = {}  # distinct words
-    segments: dict[str, list[int]] = {}
-    sizes: list[int] = []
-    index: list[np.ndarray] = []
-    held = 0
-
-    def look(segment: str) -> list[int]:
-        got = [at.setdefault(p, len(at)) for p in _pieces_of(find, segment)]
-        segments[segment] = got
-        return got
-
-    def flush() -> pa.RecordBatch:
-        flat = np.concatenate(index) if index else np.zeros(0, np.int32)
-        ends = np.cumsum([0, *(len(w) + 2 for w in at)])
-        parts = np.full(int(ends[-1]), end, np.int32)
-        inner = np.ones(len(parts), bool)
-        inner[ends[:-1]] = inner[ends[1:] - 1] = False
-        parts[inner] = id_of[np.frombuffer("".join(at).encode("latin-1"), np.uint8)]
-        parts = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(parts))
-        return pa.RecordBatch.from_arrays(
-            [pa.array([ids], pa.list_(pa.int64())), pa.array([np.array(sizes, np.int64).tobytes()], pa.binary()), pa.array([flat.tobytes()], pa.binary()), pa.array([list(at)], pa.list_(pa.string())), pa.ListArray.from_arrays(pa.array([0, len(parts)], pa.int32()), parts)],
-            ["doc_ids", "sizes", "idx", "words", "parts"],
-        )
-
-    for batch in batches:
-        texts = batch.column("text")
-        for doc_id, value in zip(batch.column("doc_id").cast(pa.int64()).to_pylist(), texts, strict=True):
-            text = value.as_py() or ""
-            mine: list[int] = []
-            if not text:
-                pass
-            elif _ODD.search(text):
-                mine = [at.setdefault(p, len(at)) for p in _pieces_of(find, text)]
-            else:
-                # a cut before a blank or line feed that stands alone between words is a cut of the pattern too
-                known = segments.get
-                for part in ("\n" + text).replace("\n", " \n").split(" ")[1:]:
-                    key = part if part[0] == "\n" else " " + part
-                    mine += known(key) or look(key)
-                mine = mine[1:]
-            ids.append(doc_id)
-            sizes.append(len(mine))
-            index.append(np.array(mine, np.int32))
-            held += len(text)
-            if held >= limit:
-                yield flush()
-                ids, at, segments, sizes, index, held = [], {}, {}, [], [], 0
-    if ids:
-        yield flush()
-
-
-def _documents(batches: Iterable[pa.RecordBatch], keep_ids: bool) -> Iterator[pa.RecordBatch]:
+class Words:
+    """The words that a task has met, numbered as they come."""
+
+    def __init__(self, pattern: str):
+        self.pattern, self.find = pattern, regex.compile(pattern)
+        self.begin()
+
+    def begin(self) -> None:
+        self.words = pa.array([], pa.large_string())
+        self.fresh: list[pa.Array] = []
+        # parts of texts between blanks: the numbers of part i's words are flat[start[i] : start[i] + size[i]]
+        self.parts = pa.array([], pa.large_string())
+        self.flat, self.start, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def numbers(self, pieces: list[str]) -> np.ndarray:
+        """The words' numbers; new ones join `fresh`."""
+        coded = pa.array(pieces, pa.large_string()).dictionary_encode()
+        number, new = _look(coded.dictionary, self.words)
+        if len(new):
+            self.words = pa.concat_arrays([self.words, new])
+            self.fresh.append(new)
+        return number[coded.indices.to_numpy(zero_copy_only=False)]
+
+    def split(self, texts: list[str]) -> list[np.ndarray]:
+        """The word numbers of each text."""
+        out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(texts)
+        # the cuts below are those of the public pattern; texts of another one are split by the pattern itself
+        odd = [i for i, t in enumerate(texts) if t and (self.pattern != public_tokenizers.PATTERN or _ODD.search(t))]
+        at = set(odd)
+        plain = [i for i, t in enumerate(texts) if t and i not in at]
+        if odd:
+            found = [self.find.findall(texts[i]) for i in odd]
+            cut = np.cumsum([0, *map(len, found)])
+            numbers = self.numbers([p for pieces in found for p in pieces])
+            for i, a, b in zip(odd, cut[:-1], cut[1:], strict=True):
+                out[i] = numbers[a:b]
+        if plain:
+            # a cut before a blank or line feed that stands alone between words is a cut of the pattern too
+            marked = pc.replace_substring(pa.array(["\n" + texts[i] for i in plain], pa.large_string()), "\n", " \n")
+            lists = pc.split_pattern(marked, " ")
+            ends = lists.offsets.to_numpy()
+            coded = lists.flatten().dictionary_encode()
+            part = self._known_parts(coded.dictionary)[coded.indices.to_numpy(zero_copy_only=False)]
+            sizes = self.size[part]
+            numbers = self.flat[_gather(self.start[part], sizes)]
+            cut = np.r_[0, np.cumsum(sizes)][ends]
+            for i, a, b in zip(plain, cut[:-1], cut[1:], strict=True):
+                out[i] = numbers[a + 1 : b]  # without the line feed put before the text
+        return out
+
+    def _known_parts(self, parts: pa.Array) -> np.ndarray:
+        number, new = _look(parts, self.parts)
+        if len(new):
+            found = [self.find.findall(p if p[:1] in ("", "\n") else " " + p) for p in new.to_pylist()]
+            size = np.array([len(x) for x in found], np.int64)
+            flat = self.numbers([p for pieces in found for p in pieces])
+            self.start = np.r_[self.start, len(self.flat) + np.cumsum(size) - size]
+            self.size = np.r_[self.size, size]
+            self.flat = np.r_[self.flat, flat]
+            self.parts = pa.concat_arrays([self.parts, new])
+        return number
+
+
+def _look(values: pa.Array, known: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """The place of each of the distinct values in `known` followed by the new ones, and these."""
+    at = pc.index_in(values, value_set=known)
+    new = at.is_null()
+    number = at.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int32)
+    mask = new.to_numpy(zero_copy_only=False)
+    number[mask] = len(known) + np.arange(int(mask.sum()))
+    return number, values.filter(new)
+
+
+def _texts(batch: pa.RecordBatch) -> list[str]:
+    return [t or "" for t in batch.column("text").to_pylist()]
+
+
+def _parts(words: pa.Array, byte_ids: list[int]) -> pa.ListArray:
+    """The bytes' ids of each word between two end marks."""
+    raw = words.cast(pa.large_binary())
+    data, at = text_bytes(raw)
+    ends = at + 2 * np.arange(len(at))
+    parts = np.full(int(ends[-1]), byte_ids[-1], np.int32)
+    inner = np.ones(len(parts), bool)
+    inner[ends[:-1]] = inner[ends[1:] - 1] = False
+    parts[inner] = np.array(byte_ids[:256], np.int32)[data]
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(parts))
+
+
+@lru_cache(maxsize=2)
+def _read(shared: Broadcast) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The common words, and the offsets and ids of their codes."""
+    table = pa.ipc.open_stream(shared.value).read_all().combine_chunks()
+    return table.column("word").chunk(0), *_lists(table.column("ids").chunk(0))
+
+
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and values of a list column."""
+    offsets = column.offsets.to_numpy().astype(np.int64)
+    return offsets - offsets[0], column.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]].astype(np.int32)
+
+
+def _gather(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places starts[i] to starts[i] + sizes[i], one after the other."""
+    until = np.cumsum(sizes)
+    return np.repeat(starts - until + sizes, sizes) + np.arange(int(until[-1]) if len(until) else 0)
+
+
+def _chunks(batches: Iterable[pa.RecordBatch], pattern: str, common: Broadcast, byte_ids: list[int], limit: int, task_words: int) -> Iterator[pa.RecordBatch]:
+    shared = _read(common)[0]
+    state, anew = Words(pattern), True
+    for batch, _, _ in byte_blocks(batches, limit):
+        if len(state.words) > task_words:
+            state.begin()
+            anew = True
+        state.fresh = []
+        numbers = state.split(_texts(batch))
+        fresh = pa.concat_arrays(state.fresh) if state.fresh else pa.array([], pa.large_string())
+        at = pc.index_in(fresh, value_set=shared)
+        parts = _parts(fresh.filter(at.is_null()), byte_ids)
+        flat = np.concatenate(numbers) if numbers else np.zeros(0, np.int32)
+        sizes = np.array([len(x) for x in numbers], np.int64)
+        made = [
+            pa.array([batch.column("doc_id").cast(pa.int64()).to_pylist()], pa.list_(pa.int64())),
+            pa.array([anew]),
+            pa.array([sizes.tobytes()], pa.binary()),
+            pa.array([zlib.compress(flat.tobytes(), 1)], pa.binary()),
+            pa.array([at.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int32).tobytes()], pa.binary()),
+            pa.ListArray.from_arrays(pa.array([0, len(parts)], pa.int32()), parts),
+        ]
+        anew = False
+        yield pa.RecordBatch.from_arrays(made, ["doc_ids", "anew", "sizes", "idx", "shared", "words"])
+
+
+def _documents(batches: Iterable[pa.RecordBatch], common: Broadcast, pieces: Broadcast, keep_ids: bool) -> Iterator[pa.RecordBatch]:
+    _, at_shared, ids_shared = _read(common)
+    piece = pa.array(pieces.value, pa.large_binary())
+    spelling = pa.array([f"{i} " for i in range(len(piece))], pa.large_string())
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+    start, size, ids = none  # of the codes of the task's words
     for batch in batches:
         for row in range(batch.num_rows):
-            sizes = np.frombuffer(batch.column("sizes")[row].as_py(), np.int64)
-            index = np.frombuffer(batch.column("idx")[row].as_py(), np.int32)
-            joined = batch.column("joined")[row].values
-            codes = joined.to_pylist() if joined is not None else []
-            spelt = [x.encode("latin-1") for x in batch.column("decoded")[row].values.to_pylist()] if codes else []
-            counts = np.array([c.count(" ") + 1 for c in codes], np.int64)
-            n, ids_sha, text_sha, kept, at = [], [], [], [], 0
-            for size in sizes.tolist():
-                mine = index[at : at + size]
-                at += size
-                n.append(int(counts[mine].sum()) if size else 0)
-                listed = mine.tolist()
-                line = " ".join([codes[i] for i in listed])
-                ids_sha.append(hashlib.sha256(line.encode()).hexdigest())
-                text_sha.append(hashlib.sha256(b"".join([spelt[i] for i in listed])).hexdigest())
-                if keep_ids:
-                    kept.append(np.array(line.split(), np.int32))
-            out = [pa.array(batch.column("doc_ids")[row].as_py(), pa.int64()), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(text_sha)]
+            cell = lambda name: batch.column(name)[row]  # noqa: B023, E731
+            if cell("anew").as_py():
+                start, size, ids = none
+            at = np.frombuffer(cell("shared").as_py(), np.int32)
+            own, codes = _lists(cell("codes").values) if len(cell("codes")) else (np.zeros(1, np.int64), np.zeros(0, np.int32))
+            both = np.r_[at_shared, len(ids_shared) + own[1:]]
+            word = np.where(at < 0, np.cumsum(at < 0) - 1 + len(at_shared) - 1, at)
+            many = both[word + 1] - both[word]
+            found = np.r_[ids_shared, codes][_gather(both[word], many)]
+            start, size, ids = np.r_[start, len(ids) + np.cumsum(many) - many], np.r_[size, many], np.r_[ids, found]
+            index = np.frombuffer(zlib.decompress(cell("idx").as_py()), np.int32)
+            counts = size[index]
+            all_ids = ids[_gather(start[index], counts)]
+            until = np.r_[0, np.cumsum(counts)][np.r_[0, np.cumsum(np.frombuffer(cell("sizes").as_py(), np.int64))]]
+            taken = pa.array(all_ids)
+            (line, line_at), (raw, raw_at) = _bytes(spelling.take(taken)), _bytes(piece.take(taken))
+            ids_sha, text_sha = [], []
+            for a, b in zip(until[:-1].tolist(), until[1:].tolist(), strict=True):
+                ids_sha.append(hashlib.sha256(line[line_at[a] : max(line_at[a], line_at[b] - 1)]).hexdigest())  # without the last blank
+                text_sha.append(hashlib.sha256(raw[raw_at[a] : raw_at[b]]).hexdigest())
+            out = [pa.array(cell("doc_ids").as_py(), pa.int64()), pa.array(np.diff(until)), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if keep_ids:
-                out, names = [*out, pa.array(kept, pa.list_(pa.int32()))], [*names, "ids"]
+                out, names = [*out, pa.ListArray.from_arrays(pa.array(until, pa.int32()), taken)], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(out, names)
 
 
-def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, keep_ids: bool = False, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def _bytes(column: pa.Array) -> tuple[memoryview, np.ndarray]:
+    """All bytes of a large string or binary column, and its offsets."""
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    return memoryview(column.buffers()[2] or b""), offsets
+
+
+def _sampled_words(batches: Iterable[pa.RecordBatch], pattern: str, limit: int) -> Iterator[pa.RecordBatch]:
+    """Rows (word, n): the words of each block of documents."""
+    state = Words(pattern)
+    for batch, _, _ in byte_blocks(batches, limit):
+        state.begin()
+        many = np.bincount(np.concatenate([np.zeros(0, np.int32), *state.split(_texts(batch))]), minlength=len(state.words))
+        yield pa.RecordBatch.from_arrays([state.words.cast(pa.string()), pa.array(many)], ["word", "n"])
+
+
+def _common(source: DataFrame, tables: Column, ranks: dict[bytes, int], pattern: str, byte_ids: list[int], limit: int) -> Broadcast:
+    """Words with their ids: all that are pieces as they stand, and of the others at most COMMON_WORDS, those most often met
+    in a sample of about SAMPLE_BYTES of text."""
+    size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    sample = source.where(F.pmod(F.xxhash64("text"), F.lit(max(1, round(size / SAMPLE_BYTES)))) == 0)
+    counted = sample.mapInArrow(partial(_sampled_words, pattern=pattern, limit=limit), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    often = counted.where("n > 1").orderBy(F.desc("n"), "word").limit(COMMON_WORDS).select("word").repartition(source.sparkSession.sparkContext.defaultParallelism)
+    spelt = often.mapInArrow(partial(_spelt, byte_ids=byte_ids), "word string, parts array<int>")
+    coded = spelt.select("word", _let(tables, lambda t: fold_merges(t, F.col("parts"))).alias("ids")).toArrow()
+    whole = {}
+    for piece, rank in ranks.items():
+        try:
+            whole[piece.decode()] = rank
+        except UnicodeDecodeError:
+            pass
+    words = pa.array(whole, pa.large_string())
+    ids = pa.array([[rank] for rank in whole.values()], pa.list_(pa.int32()))
+    if coded.num_rows:
+        coded = coded.combine_chunks()
+        new = pc.invert(pc.is_in(coded.column("word").chunk(0).cast(pa.large_string()), value_set=words))
+        words = pa.concat_arrays([words, coded.column("word").chunk(0).cast(pa.large_string()).filter(new)])
+        ids = pa.concat_arrays([ids, coded.column("ids").chunk(0).cast(ids.type).filter(new)])
+    sink = pa.BufferOutputStream()
+    table = pa.table({"word": words, "ids": ids})
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return source.sparkSession.sparkContext.broadcast(sink.getvalue().to_pybytes())
+
+
+def _spelt(batches: Iterable[pa.RecordBatch], byte_ids: list[int]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column("word"), _parts(batch.column("word"), byte_ids)], ["word", "parts"])
+
+
+def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, keep_ids: bool = False, chunk_bytes: int = CHUNK_BYTES, task_words: int = TASK_WORDS) -> DataFrame:
     """Encode every text by the ranks in a tiktoken file, each match of `pattern` separately, and decode the ids again.
 
     Returns one row per input row: doc_id, n_tokens, ids_sha256 (of the decimal ids joined by one space),
     decoded_sha256 (of the decoded bytes) and, if asked for, the ids. Null and empty texts have no tokens; repeated
-    rows and rows without doc_id stay; an empty table gives no rows; extra columns are ignored. Special tokens'
-    strings are ordinary text. No text is cut: one longer than a chunk makes a chunk of its own.
+    rows, rows that share a doc_id and rows without one stay; an empty table gives no rows; extra columns are ignored.
+    Special tokens' strings are ordinary text. No text is cut: one longer than a chunk makes a chunk of its own.
     """
     ranks = read_ranks(ranks_path)
     byte_ids = [*(ranks[bytes([b])] for b in range(256)), max(ranks.values()) + 1]
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    chunks = source.mapInArrow(partial(_chunks, pattern=pattern, byte_ids=byte_ids, limit=chunk_bytes), "doc_ids array<long>, sizes binary, idx binary, words array<string>, parts array<array<int>>")
-
-    def encoded(tables: Column, word: Column, parts: Column) -> Column:
-        bucket = F.get(tables["whole"], (F.crc32(word.cast("binary")) % F.lit(BUCKETS)).cast("int"))
-        ids = _let(F.try_element_at(bucket, word), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(fold_merges(tables, parts)))
-        decode = lambda ids: F.array_join(F.transform(ids, lambda i: F.get(tables["pieces"], i)), "")
-        spell = lambda ids: F.array_join(F.transform(ids, lambda i: i.cast("string")), " ")
-        return _let(ids, lambda ids: F.struct(spell(ids).alias("joined"), decode(ids).alias("decoded")))
-
-    coded = _let(rank_literals(ranks_path), lambda tables: F.zip_with("words", "parts", lambda word, parts: encoded(tables, word, parts)))
-    coded = chunks.select("doc_ids", "sizes", "idx", coded.alias("codes")).select("doc_ids", "sizes", "idx", F.col("codes.joined").alias("joined"), F.col("codes.decoded").alias("decoded"))
+    tables = rank_literals(ranks_path)
+    common = _common(source, tables, ranks, pattern, byte_ids, chunk_bytes)
+    pieces = [b""] * (max(ranks.values()) + 1)
+    for piece, rank in ranks.items():
+        pieces[rank] = piece
+    pieces = docs.sparkSession.sparkContext.broadcast(pieces)
+    read = partial(_chunks, pattern=pattern, common=common, byte_ids=byte_ids, limit=chunk_bytes, task_words=task_words)
+    chunks = source.mapInArrow(read, "doc_ids array<long>, anew boolean, sizes binary, idx binary, shared binary, words array<array<int>>")
+    codes = _let(tables, lambda t: F.transform("words", lambda word: fold_merges(t, word)))
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if keep_ids else "")
-    return coded.mapInArrow(partial(_documents, keep_ids=keep_ids), schema)
+    return chunks.select("doc_ids", "anew", "sizes", "idx", "shared", codes.alias("codes")).mapInArrow(partial(_documents, common=common, pieces=pieces, keep_ids=keep_ids), schema)

@@ -89,16 +89,22 @@ def test_run_length_index_statistics():
     assert found.tolist() == want
 
 
-def test_bpe_equals_tiktoken(docs, texts, empty):
+@pytest.mark.parametrize("pattern, common, task_words", [(P.PATTERN, bpe.COMMON_WORDS, bpe.TASK_WORDS), (P.PATTERN, 5, 40), (r"[\n!-/]+|\w+|[^\n!-/\w]+", 5, 40)])
+def test_bpe_equals_tiktoken(spark, docs, texts, empty, monkeypatch, pattern, common, task_words):
+    monkeypatch.setattr(bpe, "COMMON_WORDS", common)
     path = P.path("byte_bpe_50k.tiktoken")
-    own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
-    got = by_id(bpe.encode_documents(docs, path, P.PATTERN, keep_ids=True, chunk_bytes=500))
-    for i, t in texts.items():
+    own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    long = {100: " ".join(f"Word{i * 7919 % 30011}" for i in range(60_000)), 101: "x" * 4_000 + "\n" + "ab" * 300}
+    df = docs.unionByName(spark.createDataFrame(list(long.items()), "doc_id long, text string"), allowMissingColumns=True)
+    rows = bpe.encode_documents(df, path, pattern, keep_ids=True, chunk_bytes=500, task_words=task_words).collect()
+    assert len(rows) == len(texts) + 4 and sum(r["doc_id"] is None for r in rows) == 1
+    got = {r["doc_id"]: r for r in rows}
+    for i, t in (texts | (long if pattern == P.PATTERN else {})).items():
         ids = own.encode_ordinary(t or "")
         assert list(got[i]["ids"]) == ids and got[i]["n_tokens"] == len(ids)
         assert got[i]["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert got[i]["decoded_sha256"] == hashlib.sha256((t or "").encode()).hexdigest()
-    assert bpe.encode_documents(empty, path, P.PATTERN).count() == 0
+    assert bpe.encode_documents(empty, path, pattern).count() == 0
 
 
 def brute_print(text, width=3):
