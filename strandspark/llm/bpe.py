@@ -12,8 +12,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
-import re
-import zlib
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache, partial
 
@@ -26,16 +24,19 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandspark.llm.common import byte_blocks, text_bytes
+from strandspark.llm.common import byte_blocks, small_batches, text_bytes
 
 #: The rank of a pair that does not merge. Both ends of a word are marked by the id after the last, which merges with none.
 NONE = 2**31 - 1
 #: Text bytes of a chunk (one longer document makes a chunk of its own), and words that a task remembers before it begins anew.
-CHUNK_BYTES, TASK_WORDS = 6 << 20, 1 << 20
+CHUNK_BYTES, TASK_WORDS = 3 << 20, 1 << 20
 #: Words that are folded once for all tasks, and about how many bytes of text they are looked for in.
 COMMON_WORDS, SAMPLE_BYTES = 1 << 19, 128 << 20
 #: White space other than single blanks or line feeds between words: such texts are split by the pattern itself.
-_ODD = re.compile(r"\s\s|^\s|\s\Z|[^\S \n]")
+ODD_SPACE = ("  ", " \n", "\n ", "\n\n", *"\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+
+
+_CODEC = pa.Codec("lz4")
 
 
 @lru_cache(maxsize=4)
@@ -150,7 +151,7 @@ class Words:
         """The word numbers of each text."""
         out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(texts)
         # the cuts below are those of the public pattern; texts of another one are split by the pattern itself
-        odd = [i for i, t in enumerate(texts) if t and (self.pattern != public_tokenizers.PATTERN or _ODD.search(t))]
+        odd = [i for i, t in enumerate(texts) if t and (self.pattern != public_tokenizers.PATTERN or t[0] in " \n" or t[-1] in " \n" or any(x in t for x in ODD_SPACE))]
         at = set(odd)
         plain = [i for i, t in enumerate(texts) if t and i not in at]
         if odd:
@@ -176,7 +177,8 @@ class Words:
     def _known_parts(self, parts: pa.Array) -> np.ndarray:
         number, new = _look(parts, self.parts)
         if len(new):
-            found = [self.find.findall(p if p[:1] in ("", "\n") else " " + p) for p in new.to_pylist()]
+            # letters alone are one match
+            found = [[" " + p] if p.isalpha() else self.find.findall(p if p[:1] in ("", "\n") else " " + p) for p in new.to_pylist()]
             size = np.array([len(x) for x in found], np.int64)
             flat = self.numbers([p for pieces in found for p in pieces])
             self.start = np.r_[self.start, len(self.flat) + np.cumsum(size) - size]
@@ -196,6 +198,20 @@ def _look(values: pa.Array, known: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return number, values.filter(new)
 
 
+def _joined_batches(batches: Iterable[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """Rows in runs of about `limit` bytes of text."""
+    held, size = [], 0
+    for batch, data, _ in byte_blocks(batches, limit):
+        if held and size + len(data) > limit:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+        if batch.num_rows:
+            held.append(batch)
+            size += len(data)
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def _texts(batch: pa.RecordBatch) -> list[str]:
     return [t or "" for t in batch.column("text").to_pylist()]
 
@@ -234,7 +250,7 @@ def _gather(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 def _chunks(batches: Iterable[pa.RecordBatch], pattern: str, common: Broadcast, byte_ids: list[int], limit: int, task_words: int) -> Iterator[pa.RecordBatch]:
     shared = _read(common)[0]
     state, anew = Words(pattern), True
-    for batch, _, _ in byte_blocks(batches, limit):
+    for batch in _joined_batches(batches, limit):
         if len(state.words) > task_words:
             state.begin()
             anew = True
@@ -249,7 +265,7 @@ def _chunks(batches: Iterable[pa.RecordBatch], pattern: str, common: Broadcast,
             pa.array([batch.column("doc_id").cast(pa.int64()).to_pylist()], pa.list_(pa.int64())),
             pa.array([anew]),
             pa.array([sizes.tobytes()], pa.binary()),
-            pa.array([zlib.compress(flat.tobytes(), 1)], pa.binary()),
+            pa.array([_CODEC.compress(flat.tobytes(), asbytes=True)], pa.binary()),
             pa.array([at.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int32).tobytes()], pa.binary()),
             pa.ListArray.from_arrays(pa.array([0, len(parts)], pa.int32()), parts),
         ]
@@ -275,10 +291,11 @@ def _documents(batches: Iterable[pa.RecordBatch], common: Broadcast, pieces: Bro
             many = both[word + 1] - both[word]
             found = np.r_[ids_shared, codes][_gather(both[word], many)]
             start, size, ids = np.r_[start, len(ids) + np.cumsum(many) - many], np.r_[size, many], np.r_[ids, found]
-            index = np.frombuffer(zlib.decompress(cell("idx").as_py()), np.int32)
+            cut = np.r_[0, np.cumsum(np.frombuffer(cell("sizes").as_py(), np.int64))]
+            index = np.frombuffer(_CODEC.decompress(cell("idx").as_py(), int(4 * cut[-1]), asbytes=True), np.int32)
             counts = size[index]
             all_ids = ids[_gather(start[index], counts)]
-            until = np.r_[0, np.cumsum(counts)][np.r_[0, np.cumsum(np.frombuffer(cell("sizes").as_py(), np.int64))]]
+            until = np.r_[0, np.cumsum(counts)][cut]
             taken = pa.array(all_ids)
             (line, line_at), (raw, raw_at) = _bytes(spelling.take(taken)), _bytes(piece.take(taken))
             ids_sha, text_sha = [], []
@@ -301,7 +318,7 @@ def _bytes(column: pa.Array) -> tuple[memoryview, np.ndarray]:
 def _sampled_words(batches: Iterable[pa.RecordBatch], pattern: str, limit: int) -> Iterator[pa.RecordBatch]:
     """Rows (word, n): the words of each block of documents."""
     state = Words(pattern)
-    for batch, _, _ in byte_blocks(batches, limit):
+    for batch in _joined_batches(batches, limit):
         state.begin()
         many = np.bincount(np.concatenate([np.zeros(0, np.int32), *state.split(_texts(batch))]), minlength=len(state.words))
         yield pa.RecordBatch.from_arrays([state.words.cast(pa.string()), pa.array(many)], ["word", "n"])
@@ -349,6 +366,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, keep_ids: b
     rows, rows that share a doc_id and rows without one stay; an empty table gives no rows; extra columns are ignored.
     Special tokens' strings are ordinary text. No text is cut: one longer than a chunk makes a chunk of its own.
     """
+    small_batches(docs.sparkSession)
     ranks = read_ranks(ranks_path)
     byte_ids = [*(ranks[bytes([b])] for b in range(256)), max(ranks.values()) + 1]
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

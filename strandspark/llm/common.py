@@ -78,6 +78,13 @@ def small_side(df: DataFrame, size: str, limit: int) -> DataFrame:
     return F.broadcast(df) if (df.agg(F.sum(F.expr(size))).first()[0] or 0) <= limit else df
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Have Spark send Python at most `rows` rows at once from now on: batches of long texts then stay small."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name, "10000")) > rows:
+        spark.conf.set(name, str(rows))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
