@@ -29,9 +29,9 @@ from strandspark.llm.common import byte_blocks, small_batches, text_bytes
 #: The rank of a pair that does not merge. Both ends of a word are marked by the id after the last, which merges with none.
 NONE = 2**31 - 1
 #: Text bytes of a chunk (one longer document makes a chunk of its own), and words that a task remembers before it begins anew.
-CHUNK_BYTES, TASK_WORDS = 3 << 20, 1 << 20
+CHUNK_BYTES, TASK_WORDS = 2 << 20, 1 << 18
 #: Words that are folded once for all tasks, and about how many bytes of text they are looked for in.
-COMMON_WORDS, SAMPLE_BYTES = 1 << 19, 128 << 20
+COMMON_WORDS, SAMPLE_BYTES = 1 << 18, 64 << 20
 #: White space other than single blanks or line feeds between words: such texts are split by the pattern itself.
 ODD_SPACE = ("  ", " \n", "\n ", "\n\n", *"\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 
@@ -244,7 +244,9 @@ def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def _gather(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The places starts[i] to starts[i] + sizes[i], one after the other."""
     until = np.cumsum(sizes)
-    return np.repeat(starts - until + sizes, sizes) + np.arange(int(until[-1]) if len(until) else 0)
+    out = np.arange(int(until[-1]) if len(until) else 0)
+    out += np.repeat(starts - until + sizes, sizes)
+    return out
 
 
 def _chunks(batches: Iterable[pa.RecordBatch], pattern: str, common: Broadcast, byte_ids: list[int], limit: int, task_words: int) -> Iterator[pa.RecordBatch]:
@@ -270,6 +272,7 @@ def _chunks(batches: Iterable[pa.RecordBatch], pattern: str, common: Broadcast,
             pa.ListArray.from_arrays(pa.array([0, len(parts)], pa.int32()), parts),
         ]
         anew = False
+        del numbers, flat, fresh, parts, at
         yield pa.RecordBatch.from_arrays(made, ["doc_ids", "anew", "sizes", "idx", "shared", "words"])
 
 
@@ -306,6 +309,7 @@ def _documents(batches: Iterable[pa.RecordBatch], common: Broadcast, pieces: Bro
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if keep_ids:
                 out, names = [*out, pa.ListArray.from_arrays(pa.array(until, pa.int32()), taken)], [*names, "ids"]
+            del index, counts, all_ids, taken, line, raw, line_at, raw_at
             yield pa.RecordBatch.from_arrays(out, names)
 
 
