@@ -24,7 +24,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandspark.llm.common import byte_blocks, small_batches, text_bytes
+from strandspark.llm.common import byte_blocks, give_back, small_batches, text_bytes
 
 #: The rank of a pair that does not merge. Both ends of a word are marked by the id after the last, which merges with none.
 NONE = 2**31 - 1
@@ -274,6 +274,8 @@ def _chunks(batches: Iterable[pa.RecordBatch], pattern: str, common: Broadcast,
         anew = False
         del numbers, flat, fresh, parts, at
         yield pa.RecordBatch.from_arrays(made, ["doc_ids", "anew", "sizes", "idx", "shared", "words"])
+    del state
+    give_back()
 
 
 def _documents(batches: Iterable[pa.RecordBatch], common: Broadcast, pieces: Broadcast, keep_ids: bool) -> Iterator[pa.RecordBatch]:
@@ -311,6 +313,8 @@ def _documents(batches: Iterable[pa.RecordBatch], common: Broadcast, pieces: Bro
                 out, names = [*out, pa.ListArray.from_arrays(pa.array(until, pa.int32()), taken)], [*names, "ids"]
             del index, counts, all_ids, taken, line, raw, line_at, raw_at
             yield pa.RecordBatch.from_arrays(out, names)
+    start = size = ids = none
+    give_back()
 
 
 def _bytes(column: pa.Array) -> tuple[memoryview, np.ndarray]:
@@ -326,6 +330,8 @@ def _sampled_words(batches: Iterable[pa.RecordBatch], pattern: str, limit: int)
         state.begin()
         many = np.bincount(np.concatenate([np.zeros(0, np.int32), *state.split(_texts(batch))]), minlength=len(state.words))
         yield pa.RecordBatch.from_arrays([state.words.cast(pa.string()), pa.array(many)], ["word", "n"])
+    del state
+    give_back()
 
 
 def _common(source: DataFrame, tables: Column, ranks: dict[bytes, int], pattern: str, byte_ids: list[int], limit: int) -> Broadcast:
