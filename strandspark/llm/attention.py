@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandspark.llm.common import byte_blocks
+from strandspark.llm.common import byte_blocks, give_back
 
 #: Bytes of a passage, hash buckets of byte bigrams, and sizes of the passage code and of the attention.
 PASSAGE, BUCKETS, CODE, GATE = 512, 256, 24, 12
@@ -108,13 +108,14 @@ def fit(x: np.ndarray, many: np.ndarray, label: np.ndarray, seed: int = 42, roun
 
 
 def _bags(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch, data, offsets in byte_blocks(batches, 2 << 20):
+    for batch, data, offsets in byte_blocks(batches, 512 << 10):
         x, many = passages(data, offsets)
         ends = np.cumsum(many)
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id").cast(pa.int64()), batch.column("quality").cast(pa.int32()), pa.array([x[e - n : e].astype(np.float16).tobytes() for e, n in zip(ends.tolist(), many.tolist(), strict=True)], pa.binary())],
             ["doc_id", "quality", "bag"],
         )
+    give_back()
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, seed: int = 42) -> dict:
@@ -135,9 +136,10 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, seed: int =
 
 def _score_batches(batches: Iterable[pa.RecordBatch], model: dict) -> Iterator[pa.RecordBatch]:
     model = {k: p.astype(np.float32) for k, p in model.items()}
-    for batch, data, offsets in byte_blocks(batches, 1 << 20):
+    for batch, data, offsets in byte_blocks(batches, 512 << 10):
         score, _ = forward(model, *passages(data, offsets))
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score.astype(np.float64))], [*batch.schema.names, "score"])
+    give_back()
 
 
 def score_documents(docs: DataFrame, model: dict, threshold: float = 0.3) -> DataFrame:

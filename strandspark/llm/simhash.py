@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandspark.llm.common import IS_SPACE, byte_blocks, save, shuffle_partitions, union_labels
+from strandspark.llm.common import IS_SPACE, byte_blocks, give_back, save, shuffle_partitions, union_labels
 from strandspark.llm.components import connected_components
 
 #: Members of one bucket that a task compares at once; larger buckets are cut into tiles of this size.
@@ -78,9 +78,10 @@ def fingerprints(data: np.ndarray, offsets: np.ndarray, width: int = 3, seed: in
 
 
 def _fingerprint_batches(batches: Iterable[pa.RecordBatch], width: int, seed: int) -> Iterator[pa.RecordBatch]:
-    for batch, data, offsets in byte_blocks(batches, 4 << 20):
+    for batch, data, offsets in byte_blocks(batches, 1 << 20):
         fp = fingerprints(data, offsets, width, seed).view(np.int64)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(fp)], ["doc_id", "fp"])
+    give_back()
 
 
 def bit_planes(values: np.ndarray) -> np.ndarray:
