@@ -75,12 +75,6 @@ def forget(*tables: DataFrame | None) -> None:
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def small_side(df: DataFrame, size: str, limit: int) -> DataFrame:
-    """Broadcast a saved table if the sum of the SQL expression `size` (its bytes) is within `limit`; else leave the
-    choice to the planner, which then shuffles both sides."""
-    return F.broadcast(df) if (df.agg(F.sum(F.expr(size))).first()[0] or 0) <= limit else df
-
-
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Have Spark send Python at most `rows` rows at once from now on: batches of long texts then stay small."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"

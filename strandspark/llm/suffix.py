@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandspark.llm.common import byte_blocks, save, shuffle_partitions, small_side
+from strandspark.llm.common import byte_blocks, forget, give_back, save, shuffle_partitions
 
 #: Bytes of an anchor.
 ANCHOR = 32
@@ -31,11 +31,11 @@ ANCHOR = 32
 BLOCK_BYTES, SEND_BYTES = 1 << 20, 32 << 20
 #: Bytes of surroundings looked at at once (those of one anchor stay together).
 INDEX_BYTES = 2 << 20
-#: Bytes of spans or positions that may be broadcast to the texts; beyond them the texts are shuffled.
-BROADCAST_BYTES = 24 << 20
+#: Text bytes that a bucket of anchors should stand for.
+BUCKET_BYTES = 16 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _ANY_DOC = (1 << 63) - 1
-ENTRY = np.dtype([("anchor", "<u8"), ("around", "<u8"), ("doc", "<i8"), ("pos", "<u4")])
+ENTRY = np.dtype([("anchor", "<u8"), ("around", "<u8"), ("doc", "<i8"), ("tag", "<u4"), ("pos", "<u4")])
 SPAN = np.dtype([("start", "<i8"), ("end", "<i8")])
 
 
@@ -104,20 +104,33 @@ def _merge(starts: np.ndarray, ends: np.ndarray, docs: np.ndarray) -> tuple[np.n
     return d[at], s[at], (reach - shift)[np.r_[at[1:], len(d)] - 1]
 
 
-def _span_rows(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[tuple[int, bytes]]:
-    """One (doc, packed maximal spans) for each document."""
-    d, s, e = _merge(start, end, doc)
-    packed = np.empty(len(d), SPAN)
+def _cuts(*keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin, and the end."""
+    n = len(keys[0])
+    new = np.ones(n, bool)
+    if n:
+        new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return np.r_[np.flatnonzero(new), n]
+
+
+def _span_rows(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[tuple[int, int, bytes]]:
+    """One (doc, tag, packed maximal spans) for each document."""
+    order = np.lexsort((start, tag, doc))
+    doc, tag, start, end = doc[order], tag[order], start[order], end[order]
+    first = _cuts(doc, tag)
+    text, s, e = _merge(start, end, np.repeat(np.arange(len(first) - 1), np.diff(first)))
+    packed = np.empty(len(text), SPAN)
     packed["start"], packed["end"] = s, e
-    cut = np.flatnonzero(np.r_[True, d[1:] != d[:-1]]) if len(d) else np.zeros(0, np.int64)
-    return [(int(d[a]), packed[a:b].tobytes()) for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(d)], strict=True)] if len(cut) else []
+    cut = _cuts(text)
+    return [(int(doc[first[text[a]]]), int(tag[first[text[a]]]), packed[a:b].tobytes()) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
 
 
-def _rows(kind: str, rows: list[tuple[int, bytes]], buckets: int = 0) -> pa.RecordBatch:
-    """Rows (bucket, key, kind, data); rows of documents travel through the bucket of their key."""
+def _rows(kind: str, rows: list[tuple[int, int, bytes]], buckets: int = 0) -> pa.RecordBatch:
+    """Rows (bucket, key, tag, kind, data); rows of documents travel through the bucket of their key."""
     key = [r[0] for r in rows]
     to = [k % buckets for k in key] if buckets else [0] * len(key)
-    return pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), pa.array(key, pa.int64()), pa.array([kind] * len(rows), pa.string()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "key", "kind", "data"])
+    columns = [pa.array(to, pa.int64()), pa.array(key, pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([kind] * len(rows), pa.string()), pa.array([r[2] for r in rows], pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, ["bucket", "key", "tag", "kind", "data"])
 
 
 def _planes(entry: np.ndarray) -> bytes:
@@ -141,30 +154,32 @@ def _exchange(batches: Iterable[pa.RecordBatch], length: int, buckets: int) -> I
 
     def flush() -> Iterator[pa.RecordBatch]:
         entry, size = np.concatenate(held), np.concatenate(sizes)
-        order = np.lexsort((entry["pos"], entry["doc"], entry["around"], entry["anchor"]))
+        held.clear()
+        sizes.clear()
+        if not len(entry):  # no text is as long as a string
+            return
+        order = np.lexsort((entry["pos"], entry["tag"], entry["doc"], entry["around"], entry["anchor"]))
         entry, size = entry[order], size[order]
         again = np.r_[False, (entry["anchor"][1:] == entry["anchor"][:-1]) & (entry["around"][1:] == entry["around"][:-1])]
         # a row of the same document at the same place is no earlier start
         lead = np.maximum.accumulate(np.where(again, 0, np.arange(len(entry))))
-        twin = again & (entry["doc"] == entry["doc"][lead]) & (entry["pos"] == entry["pos"][lead])
+        twin = again & (entry["doc"] == entry["doc"][lead]) & (entry["tag"] == entry["tag"][lead]) & (entry["pos"] == entry["pos"][lead])
         late = again & ~twin
         at = entry["pos"][late].astype(np.int64)
-        spans = _span_rows(entry["doc"][late], np.maximum(at - (length - ANCHOR), 0), np.minimum(at + length, size[late]))
+        spans = _span_rows(entry["doc"][late], entry["tag"][late], np.maximum(at - (length - ANCHOR), 0), np.minimum(at + length, size[late]))
         yield _rows("spans", spans, buckets)
         keep = entry[~again]
         to = (keep["anchor"] % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(to, kind="stable")
         keep, to = keep[order], to[order]
-        cut = np.flatnonzero(np.r_[True, to[1:] != to[:-1]]) if len(to) else np.zeros(0, np.int64)
-        yield _rows("anchors", [(int(to[a]), _planes(keep[a:b])) for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(to)], strict=True)] if len(cut) else [], buckets)
-        held.clear()
-        sizes.clear()
+        cut = _cuts(to)
+        yield _rows("anchors", [(int(to[a]), 0, _planes(keep[a:b])) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)], buckets)
 
     for batch, data, offsets in byte_blocks(batches, BLOCK_BYTES):
-        docs = batch.column("doc_id").cast(pa.int64()).fill_null(_ANY_DOC).to_numpy()
+        docs, tags = batch.column("key").to_numpy(), batch.column("tag").to_numpy()
         text, pos, anchor, around = anchors(data, offsets, length)
         entry = np.empty(len(text), ENTRY)
-        entry["anchor"], entry["around"], entry["doc"], entry["pos"] = anchor, around, docs[text], pos
+        entry["anchor"], entry["around"], entry["doc"], entry["tag"], entry["pos"] = anchor, around, docs[text], tags[text], pos
         held.append(entry)
         sizes.append(np.diff(offsets)[text])
         read += len(data)
@@ -173,6 +188,7 @@ def _exchange(batches: Iterable[pa.RecordBatch], length: int, buckets: int) -> I
             read = 0
     if held:
         yield from flush()
+    give_back()
 
 
 def _resolve(rows: pa.Table) -> pa.Table:
@@ -184,31 +200,31 @@ def _resolve(rows: pa.Table) -> pa.Table:
     if not packed:
         return out[0]
     entry = np.concatenate([_from_planes(p) for p in packed])
-    order = np.lexsort((entry["pos"], entry["doc"], entry["around"], entry["anchor"]))
+    order = np.lexsort((entry["pos"], entry["tag"], entry["doc"], entry["around"], entry["anchor"]))
     entry = entry[order]
     new_anchor = np.r_[True, entry["anchor"][1:] != entry["anchor"][:-1]]
     new_around = new_anchor | np.r_[True, entry["around"][1:] != entry["around"][:-1]]
     lead = np.maximum.accumulate(np.where(new_around, np.arange(len(entry)), 0))
-    late = ~new_around & ~((entry["doc"] == entry["doc"][lead]) & (entry["pos"] == entry["pos"][lead]))
+    late = ~new_around & ~((entry["doc"] == entry["doc"][lead]) & (entry["tag"] == entry["tag"][lead]) & (entry["pos"] == entry["pos"][lead]))
     group = np.cumsum(new_anchor) - 1
     many = np.bincount(group[new_around], minlength=group[-1] + 1)[group] > 1
     for kind, which in (("covered", late), ("asked", new_around & many)):
         e = entry[which]
-        e = e[np.lexsort((e["pos"], e["doc"]))]
-        cut = np.flatnonzero(np.r_[True, e["doc"][1:] != e["doc"][:-1]]) if len(e) else np.zeros(0, np.int64)
+        e = e[np.lexsort((e["pos"], e["tag"], e["doc"]))]
+        cut = _cuts(e["doc"], e["tag"])
         pairs = np.empty(len(e), SPAN)
         pairs["start"], pairs["end"] = e["pos"], e["anchor"].view(np.int64)
-        ends = [*cut[1:].tolist(), len(e)]
-        out.append(pa.Table.from_batches([_rows(kind, [(int(e["doc"][a]), pairs[a:b].tobytes()) for a, b in zip(cut.tolist(), ends, strict=True)] if len(cut) else [])]))
+        found = [(int(e["doc"][a]), int(e["tag"][a]), pairs[a:b].tobytes()) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+        out.append(pa.Table.from_batches([_rows(kind, found)]))
     return pa.concat_tables([out[0].cast(out[1].schema), *out[1:]])
 
 
 def _cut_out(batches: Iterable[pa.RecordBatch], length: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Surroundings asked for, as rows (bucket, packed [doc, start, length, anchor], bytes): one for each bucket and document."""
+    """Surroundings asked for, as rows (bucket, packed [doc, start, length, anchor, tag], bytes): one for each bucket and document."""
     for batch, data, offsets in byte_blocks(batches, BLOCK_BYTES):
         raw = data.tobytes()
         keys, heads, texts = [], [], []
-        for i, (doc, asked) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("asked").to_pylist(), strict=True)):
+        for i, (doc, tag, asked) in enumerate(zip(batch.column("key").to_pylist(), batch.column("tag").to_pylist(), batch.column("asked").to_pylist(), strict=True)):
             pairs = np.concatenate([np.frombuffer(p, SPAN) for p in asked])
             pairs = pairs[np.lexsort((pairs["start"], pairs["end"]))]
             lo, hi = int(offsets[i]), int(offsets[i + 1])
@@ -218,7 +234,7 @@ def _cut_out(batches: Iterable[pa.RecordBatch], length: int, buckets: int) -> It
             for bucket in np.unique(to).tolist():
                 which = np.flatnonzero(to == bucket)
                 keys.append(bucket)
-                heads.append(np.stack([np.full(len(which), doc), a[which] - lo, b[which] - a[which], pairs["end"][which]], axis=1).astype(np.int64).tobytes())
+                heads.append(np.stack([np.full(len(which), doc), a[which] - lo, b[which] - a[which], pairs["end"][which], np.full(len(which), tag)], axis=1).astype(np.int64).tobytes())
                 texts.append(b"".join([raw[x:y] for x, y in zip(a[which].tolist(), b[which].tolist(), strict=True)]))
         if keys:
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(heads, pa.binary()), pa.array(texts, pa.binary())], ["bucket", "head", "bytes"])
@@ -310,13 +326,13 @@ class RunLengthIndex:
 def _index_bucket(rows: pa.Table, length: int) -> pa.Table:
     """Spans of a bucket's surroundings that repeat what starts earlier in another: anchor by anchor, as many anchors
     to an index as INDEX_BYTES hold."""
-    head = np.concatenate([np.frombuffer(h, np.int64).reshape(-1, 4) for h in rows.column("head").to_pylist()])
+    head = np.concatenate([np.frombuffer(h, np.int64).reshape(-1, 5) for h in rows.column("head").to_pylist()])
     data = np.frombuffer(b"".join(rows.column("bytes").to_pylist()), np.uint8)
     offsets = np.r_[0, np.cumsum(head[:, 2])]
-    order = np.lexsort((head[:, 1], head[:, 0], head[:, 3]))
+    order = np.lexsort((head[:, 1], head[:, 4], head[:, 0], head[:, 3]))
     ends = np.flatnonzero(np.r_[head[order[1:], 3] != head[order[:-1], 3], True]) + 1  # of the anchors
     size = np.cumsum(head[order, 2])
-    found_doc, found_pos, at = [], [], 0
+    found, at = [], 0
     while at < len(order):
         before = size[at - 1] if at else 0
         whole = ends[(ends > at) & (size[ends - 1] <= before + INDEX_BYTES)]
@@ -328,14 +344,12 @@ def _index_bucket(rows: pa.Table, length: int) -> pa.Table:
         keep = _with_shared_string(text, own, length)
         if keep.any():
             text, mine = text[np.repeat(keep, sizes)], mine[keep]
-            doc, pos = _repeated_starts(RunLengthIndex(text, np.r_[0, np.cumsum(sizes[keep])], length), head[mine])
-            found_doc.append(doc)
-            found_pos.append(pos)
+            found.append(_repeated_starts(RunLengthIndex(text, np.r_[0, np.cumsum(sizes[keep])], length), head[mine]))
         at = to
-    if not found_doc:
+    if not found:
         return pa.Table.from_batches([_rows("spans", [])])
-    doc, pos = np.concatenate(found_doc), np.concatenate(found_pos)
-    return pa.Table.from_batches([_rows("spans", _span_rows(doc, pos, pos + length))])
+    doc, tag, pos = (np.concatenate(x) for x in zip(*found, strict=True))
+    return pa.Table.from_batches([_rows("spans", _span_rows(doc, tag, pos, pos + length))])
 
 
 def _with_shared_string(text: np.ndarray, own: np.ndarray, length: int) -> np.ndarray:
@@ -355,16 +369,18 @@ def _with_shared_string(text: np.ndarray, own: np.ndarray, length: int) -> np.nd
     return keep
 
 
-def _repeated_starts(index: RunLengthIndex, head: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _repeated_starts(index: RunLengthIndex, head: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(doc, tag, pos) of the starts of strings that also start earlier."""
     text = np.repeat(np.arange(len(head)), index.sizes + 1)
     pos = head[text, 1] + np.arange(len(index.symbol)) - index.starts[text]
-    doc = head[text, 0]
-    # starts ordered by (document, place), as numbers
-    order = np.lexsort((pos, doc))
+    doc, tag = head[text, 0], head[text, 4]
+    # starts ordered by document and place, as numbers
+    order = np.lexsort((pos, tag, doc))
+    first = _cuts(doc[order], tag[order], pos[order])
     key = np.empty(len(order), np.int64)
-    key[order] = np.cumsum(np.r_[0, (doc[order][1:] != doc[order][:-1]) | (pos[order][1:] != pos[order][:-1])])
+    key[order] = np.repeat(np.arange(len(first) - 1), np.diff(first))
     found = index.repeats(key)
-    return doc[found], pos[found]
+    return doc[found], tag[found], pos[found]
 
 
 def _finish(batches: Iterable[pa.RecordBatch], length: int, keep_text: bool) -> Iterator[pa.RecordBatch]:
@@ -404,25 +420,28 @@ def remove_repeats(docs: DataFrame, length: int = 100, keep_text: bool = False)
     Earlier means a smaller doc_id, or the same doc_id and an earlier place; matches never cross documents, overlaps
     count, and strings are judged on the input. Returns one row per input row: doc_id, n_bytes, n_removed, n_spans
     (maximal removed runs), kept_sha256 and, if asked for, the remaining bytes. Null and empty texts have no bytes; rows
-    that repeat a doc_id are the same document, so the same place in them is not earlier; rows without doc_id come last
-    as one document; an empty table gives no rows; extra columns are ignored.
+    equal in doc_id and text are one document, so the same place in them is not earlier; rows that repeat a doc_id with
+    another text are documents of their own, in the order of a 31-bit hash of their texts; rows without doc_id come last,
+    likewise; an empty table gives no rows; extra columns are ignored.
     """
     if length < 2 * ANCHOR:
         raise ValueError(f"strings of at least {2 * ANCHOR} bytes")
     spark = docs.sparkSession
-    buckets = shuffle_partitions(spark)
+    tag = F.coalesce(F.xxhash64("text"), F.lit(0)).bitwiseAND(F.lit((1 << 31) - 1)).alias("tag")
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    schema = "bucket long, key long, kind string, data binary"
-    sent = source.mapInArrow(partial(_exchange, length=length, buckets=buckets), schema)
+    keyed = source.select(F.coalesce("doc_id", F.lit(_ANY_DOC)).alias("key"), tag, "doc_id", "text")
+    size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(shuffle_partitions(spark), -(-size // BUCKET_BYTES))
+    schema = "bucket long, key long, tag long, kind string, data binary"
+    sent = keyed.select("key", "tag", "text").mapInArrow(partial(_exchange, length=length, buckets=buckets), schema)
     solved = save(sent.groupBy("bucket").applyInArrow(lambda rows: _resolve(rows), schema).drop("bucket"), "resolved")
-    asked = save(solved.where("kind = 'asked'").groupBy("key").agg(F.collect_list("data").alias("asked")), "asked")
-    keyed = source.withColumn("key", F.coalesce("doc_id", F.lit(_ANY_DOC)))
-    size = "aggregate({}, 16L, (s, x) -> s + length(x))".format
-    firsts = keyed.join(small_side(asked, size("asked"), BROADCAST_BYTES), "key").select(F.col("key").alias("doc_id"), "text", "asked")
+    asked = solved.where("kind = 'asked'").groupBy("key", "tag").agg(F.collect_list("data").alias("asked"))
+    firsts = keyed.join(asked, ["key", "tag"]).select("key", "tag", "text", "asked")
     cut = firsts.mapInArrow(partial(_cut_out, length=length, buckets=buckets), "bucket long, head binary, bytes binary")
     matched = cut.groupBy("bucket").applyInArrow(lambda rows: _index_bucket(rows, length), schema).drop("bucket")
     when = lambda kind: F.collect_list(F.when(F.col("kind") == kind, F.col("data"))).alias(kind)
-    spans = save(matched.unionByName(solved.where("kind <> 'asked'")).groupBy("key").agg(when("covered"), when("spans")), "spans")
-    joined = keyed.join(small_side(spans, size("concat(covered, spans)"), BROADCAST_BYTES), "key", "left").select("doc_id", "text", "covered", "spans")
+    spans = save(matched.unionByName(solved.where("kind <> 'asked'")).groupBy("key", "tag").agg(when("covered"), when("spans")), "spans")
+    forget(solved)
+    joined = keyed.join(spans, ["key", "tag"], "left").select("doc_id", "text", "covered", "spans")
     out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if keep_text else "")
     return joined.mapInArrow(partial(_finish, length=length, keep_text=keep_text), out)

@@ -71,6 +71,25 @@ def test_repeats_match_brute_force(docs, texts, empty):
     assert suffix.remove_repeats(empty, 100).count() == 0
 
 
+def test_repeats_of_short_texts_and_shared_ids(spark):
+    kind = "doc_id long, text string"
+    short = spark.createDataFrame([(1, "short"), (2, ""), (3, None)], kind).coalesce(1)
+    assert [(r["n_bytes"], r["n_removed"]) for r in suffix.remove_repeats(short).orderBy("doc_id").collect()] == [(5, 0), (0, 0), (0, 0)]
+    a, b = "".join(RNG.choice("abcdef ") for _ in range(700)), "".join(RNG.choice("qxzjkv ") for _ in range(700))
+    for one, two in ((2, 3), (2, 2), (None, None)):
+        rows = [(1, a), (one, "zz " + a), (two, b), (9, "short"), (one, "zz " + a)]
+        got = sorted((r["n_bytes"], r["n_removed"], r["n_spans"]) for r in suffix.remove_repeats(spark.createDataFrame(rows, kind).repartition(3)).collect())
+        assert got == sorted([(700, 0, 0), (703, 700, 1), (703, 700, 1), (700, 0, 0), (5, 0, 0)])
+
+
+def test_repeats_of_a_very_long_text(spark):
+    rng = random.Random(5)
+    base = "".join(rng.choice("abcdefgh \n") for _ in range(400_000))
+    texts = {1: base, 2: "x" + base[100_000:350_000] + "y", 3: base[:50] * 3_000}
+    got = {i: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for i, r in by_id(suffix.remove_repeats(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))).items()}
+    assert got == brute_repeats(texts)
+
+
 def test_repeats_of_many_variants(spark):
     base = prose(200)
     var = {i: "".join(c if RNG.random() > 0.004 else "#" for c in base) for i in range(60)}
