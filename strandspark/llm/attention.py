@@ -22,6 +22,8 @@ from strandspark.llm.common import byte_blocks, give_back
 PASSAGE, BUCKETS, CODE, GATE = 512, 256, 24, 12
 #: Labelled documents that the model is fitted on at most (those with the smallest seeded hashes).
 FIT_ROWS = 3000
+#: Passages of one of them at most; scoring looks at all.
+FIT_PASSAGES = 512
 _KIND = np.zeros(256, np.int64)
 for _k, _chars in enumerate((b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" ", b"\n\r\t", b".,;:'\"-()", b"!?", b"#*$%&|<>", b"{}[]=+/\\_^~`@")):
     _KIND[list(_chars)] = _k + 1
@@ -107,12 +109,17 @@ def fit(x: np.ndarray, many: np.ndarray, label: np.ndarray, seed: int = 42, roun
     return model
 
 
+def _thinned(bag: np.ndarray) -> np.ndarray:
+    """At most FIT_PASSAGES passages of a document that is fitted on, evenly spread."""
+    return bag if len(bag) <= FIT_PASSAGES else bag[np.linspace(0, len(bag) - 1, FIT_PASSAGES).astype(np.int64)]
+
+
 def _bags(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, data, offsets in byte_blocks(batches, 512 << 10):
         x, many = passages(data, offsets)
         ends = np.cumsum(many)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id").cast(pa.int64()), batch.column("quality").cast(pa.int32()), pa.array([x[e - n : e].astype(np.float16).tobytes() for e, n in zip(ends.tolist(), many.tolist(), strict=True)], pa.binary())],
+            [batch.column("doc_id").cast(pa.int64()), batch.column("quality").cast(pa.int32()), pa.array([_thinned(x[e - n : e]).astype(np.float16).tobytes() for e, n in zip(ends.tolist(), many.tolist(), strict=True)], pa.binary())],
             ["doc_id", "quality", "bag"],
         )
     give_back()
@@ -121,7 +128,8 @@ def _bags(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, seed: int = 42) -> dict:
     """Fit on a bounded sample of labelled documents, never on those whose crc32(doc_id) is divisible by 5.
 
-    The sample's passages are encoded on the executors; at most `rows` bags reach the driver.
+    The sample's passages are encoded on the executors; at most `rows` bags of FIT_PASSAGES passages reach the driver.
+    Rows without doc_id or label are not fitted on; of a doc_id's several labels the greatest counts.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality is not null")
     known = known.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0).groupBy("doc_id").agg(F.max("quality").alias("quality"))

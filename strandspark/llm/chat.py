@@ -21,13 +21,13 @@ def unescape(text: Column) -> Column:
 
 
 def escape_role(role: Column) -> Column:
-    """Roles stand on a line of their own: a line feed is written backslash n, a backslash twice."""
-    return escape(F.replace(F.replace(role, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n")))
+    """Roles stand on a line of their own: a backslash is written backslash b, a line feed backslash n."""
+    return escape(F.replace(F.replace(role, F.lit("\\"), F.lit("\\b")), F.lit("\n"), F.lit("\\n")))
 
 
 def unescape_role(role: Column) -> Column:
-    plain = F.replace(unescape(role), F.lit("\\\\"), F.lit("\x00"))
-    return F.replace(F.replace(plain, F.lit("\\n"), F.lit("\n")), F.lit("\x00"), F.lit("\\"))
+    # every backslash begins a pair, so the two replacements do not meet
+    return F.replace(F.replace(unescape(role), F.lit("\\n"), F.lit("\n")), F.lit("\\b"), F.lit("\\"))
 
 
 def format_conversations(turns: DataFrame, target_role: str = "assistant") -> DataFrame:
@@ -37,7 +37,8 @@ def format_conversations(turns: DataFrame, target_role: str = "assistant") -> Da
     share a block (their texts joined by SEP); blocks are joined into `formatted`. `loss_spans` are the code point
     ranges (start, length) of the formatted texts of `target_role`, one a turn. Control strings in texts and roles are
     escaped reversibly. Null texts and roles are empty; repeated turns are all kept, ordered by (turn, role, text);
-    null turns come first; rows without conv_id make one conversation; an empty table gives no rows.
+    null turns come first; rows without conv_id make one conversation; an empty table gives no rows; extra columns, whatever
+    their names, are ignored.
     """
     turn = F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     grouped = turns.select(F.col("conv_id").cast("long").alias("conv_id"), turn.alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))

@@ -10,59 +10,66 @@ from pyspark.sql import functions as F
 
 from strandspark.llm.common import save, words_count
 
-#: Budget that the bounded knapsack fits exactly, in words; what stands above it is filled with the longest lengths.
-DP_WORDS = 1 << 16
+#: Sums that the dynamic programme looks at in all, over all lengths, and at once.
+DP_CELLS, DP_SUMS = 1 << 28, 1 << 22
 #: Documents of one length that a hash slice should hold; larger groups are cut into more slices.
 SLICE = 4096
+#: Sources whose targets are broadcast; those of more are joined by a shuffle.
+BROADCAST_SOURCES = 100_000
 
 
-def knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
+def knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int = 42) -> np.ndarray:
     """How many of each length to take so that their sum comes as near to `budget` as can be without passing it.
 
-    Above DP_WORDS the budget is met in proportion to the counts, then longest first; the rest is a bounded-knapsack
-    dynamic programme over exact sums (for each sum, the fewest items of the newest length that reach it).
+    A bounded-knapsack dynamic programme over exact sums fits the budget, or the last `room` words of a larger one: `room`
+    is twice the longest length at least, so that any document can be in it. What is above is taken in proportion to the
+    counts, rounded up or down at random by `seed`. For each sum the programme holds the first length that reaches it
+    and how often; it stops when the whole budget is met.
     """
     take = np.zeros(len(lengths), np.int64)
-    usable = (lengths > 0) & (counts > 0)
+    usable = np.flatnonzero((lengths > 0) & (counts > 0))
     total = int((lengths * counts)[usable].sum())
     if budget <= 0 or not total:
         return take
     if budget >= total:
-        return np.where(usable, counts, 0)
-    rest = budget
-    if rest > DP_WORDS:
-        share = (budget - DP_WORDS // 2) / total
-        take = np.where(usable, np.floor(counts * share).astype(np.int64), 0)
+        take[usable] = counts[usable]
+        return take
+    rng = np.random.default_rng(seed)
+    room = min(budget, max(2 * int(lengths[usable].max()), min(DP_SUMS, DP_CELLS // len(usable))))
+    if budget > room:
+        share = (budget - room // 2) / total
+        take[usable] = np.minimum(np.floor(counts[usable] * share + rng.random(len(usable))), counts[usable]).astype(np.int64)
         rest = budget - int((take * lengths).sum())
-        for i in np.argsort(-lengths, kind="stable"):
-            if rest <= DP_WORDS:
-                break
-            if usable[i]:
-                more = min(int(counts[i] - take[i]), max(rest - DP_WORDS // 2, 0) // int(lengths[i]))
-                take[i] += more
-                rest -= more * int(lengths[i])
-    room = min(rest, DP_WORDS)
-    items = [i for i in np.argsort(-lengths, kind="stable") if usable[i] and counts[i] > take[i] and lengths[i] <= room]
-    reached = np.full(room + 1, -1, np.int32)  # the item that first reached each sum
-    reached[0] = len(items)
+        while not 0 <= rest <= room:  # one document more or less of lengths in random order
+            step = 1 if rest > room else -1
+            for i in rng.permutation(usable):
+                if 0 <= rest <= room:
+                    break
+                if 0 <= take[i] + step <= counts[i]:
+                    take[i] += step
+                    rest -= step * int(lengths[i])
+        room = rest
+    items = [i for i in rng.permutation(usable) if counts[i] > take[i] and lengths[i] <= room]
+    item, often = np.full(room + 1, -1, np.int32), np.zeros(room + 1, np.int32)
+    item[0] = len(items)
     for k, i in enumerate(items):
         n, left = int(lengths[i]), int(counts[i] - take[i])
-        known = reached >= 0
-        for _ in range(min(left, room // n)):
-            new = np.zeros(room + 1, bool)
-            new[n:] = known[:-n]
-            new &= reached < 0
-            if not new.any():
-                break
-            reached[new] = k
-            known = new  # one item more on what this item has just reached
-        if reached[room] >= 0:
+        # sums by their rest on division by n: a sum is reached if one at most `left` steps of n below it was
+        rows = -(-(room + 1) // n)
+        known = np.zeros(rows * n, bool)
+        known[: room + 1] = item >= 0
+        step = np.arange(rows, dtype=np.int32)[:, None]
+        last = np.maximum.accumulate(np.where(known.reshape(rows, n), step, -(left + 1)), axis=0)
+        steps = (step - last).ravel()[: room + 1]
+        new = (steps > 0) & (steps <= left)
+        item[new], often[new] = k, steps[new]
+        if item[room] >= 0:
             break
-    at = int(np.flatnonzero(reached >= 0)[-1])
+    at = int(np.flatnonzero(item >= 0)[-1])
     while at:
-        i = items[reached[at]]
-        take[i] += 1
-        at -= int(lengths[i])
+        i = items[item[at]]
+        take[i] += often[at]
+        at -= int(often[at]) * int(lengths[i])
     return take
 
 
@@ -84,6 +91,7 @@ def share_targets(sizes: dict, weights: list[float], max_repeat: float) -> dict:
 
 
 def _plan(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+    group = group.sort_values("size")  # so that reruns agree
     lengths, counts = group["size"].to_numpy(np.int64), group["n"].to_numpy(np.int64)
     source_size, target = int((lengths * counts).sum()), float(group["target"].iloc[0])
     passes = int(target // source_size) if source_size else 0
@@ -97,13 +105,14 @@ def mix(docs: DataFrame, weights: list[float], max_repeat: int = 3, seed: int =
     Size is the number of ASCII-space separated words (null text: 0). Sources in code point order, null last, take the
     weights in turn and share the sum of all sizes; see :func:`share_targets`. Each source takes whole passes of all
     its documents and fits the rest by :func:`knapsack` over its histogram of exact lengths; of the documents of one
-    length those with the smallest seeded hashes are taken. Equal rows are interchangeable, so reruns agree.
+    length those with the smallest seeded hashes of id and text are taken. Equal rows are interchangeable, so reruns agree.
 
     Returns one row per input row: doc_id, source, size, source_size, target, copies, taken (copies times size). A
-    document without words is never taken; an empty table gives no rows; extra columns are ignored.
+    document without words is never taken; rows that repeat a doc_id, or have none, are documents of their own; an empty
+    table gives no rows; extra columns are ignored, whatever their names.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words_count(F.col("text").cast("string")).alias("size"))
-    rank = F.xxhash64(F.lit(seed), "doc_id")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words_count(F.col("text").cast("string")).alias("size"), F.xxhash64(F.col("text").cast("string")).alias("mark"))
+    rank = F.xxhash64(F.lit(seed), "doc_id", "mark")
     rows = save(rows.withColumn("source_key", F.concat(F.when(F.col("source").isNull(), "-").otherwise("+"), F.coalesce("source", F.lit("")))).withColumn("rank", rank), "mix")
     lengths = rows.groupBy("source_key", "size").agg(F.count(F.lit(1)).alias("n"))
     sources = rows.groupBy("source_key").agg(F.sum("size").alias("source_size"))
@@ -113,7 +122,8 @@ def mix(docs: DataFrame, weights: list[float], max_repeat: int = 3, seed: int =
     spark = docs.sparkSession
     schema = "source_key string, source_size long, target double"
     known = spark.createDataFrame([(k, int(v), float(targets[k[1:] if k[0] == "+" else None])) for k, v in found.items()], schema)
-    plan = lengths.join(F.broadcast(known), "source_key").groupBy("source_key").applyInPandas(_plan, "source_key string, size long, n long, passes long, extra long")
+    known = F.broadcast(known) if len(found) <= BROADCAST_SOURCES else known
+    plan = lengths.join(known, "source_key").groupBy("source_key").applyInPandas(_plan, "source_key string, size long, n long, passes long, extra long")
     plan = save(plan, "mix-plan")
     # the `extra` smallest hashes of each length: whole hash slices below, row numbers only in the slice on the edge
     slices = F.greatest(F.ceil(F.col("n") / SLICE), F.lit(1)).cast("long")
@@ -131,6 +141,6 @@ def mix(docs: DataFrame, weights: list[float], max_repeat: int = 3, seed: int =
     sure = cut.where("state < 2").select(*out, F.col("state").cast("long").alias("one"))
     order = W.partitionBy("source_key", "size", "slice").orderBy("rank", "doc_id")
     edge = cut.where("state = 2").withColumn("k", F.row_number().over(order)).select(*out, (F.col("k") <= F.col("left")).cast("long").alias("one"))
-    chosen = sure.unionByName(edge).join(F.broadcast(known), "source_key")
+    chosen = sure.unionByName(edge).join(known, "source_key")
     copies = F.when(F.col("size") > 0, F.col("passes") + F.col("one")).otherwise(0).cast("long")
     return chosen.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))

@@ -237,6 +237,18 @@ def test_targets_and_knapsack_against_brute_force():
     assert int((big * np.arange(1, 300)).sum()) == 1_234_567
 
 
+def test_knapsack_of_long_documents():
+    fit = lambda lengths, counts, budget: (mixing.knapsack(np.array(lengths), np.array(counts), budget) * np.array(lengths)).sum()
+    assert fit([70_000], [10], 350_000) == 350_000
+    assert fit([90_000, 100_001], [3, 3], 280_000) == 270_000
+    assert fit([200_000, *range(1, 200)], [1] * 200, 210_000) == 210_000
+    lengths = np.arange(1, 2001)
+    take = mixing.knapsack(lengths, np.ones(2000, np.int64), 1_000_500)
+    assert (take * lengths).sum() == 1_000_500 and 350 < take[:1000].sum() < 650  # short and long ones alike
+    many = mixing.knapsack(np.array([3, 900_000, 5_000_001]), np.array([10**7, 400, 300]), 10**9)
+    assert int((many * np.array([3, 900_000, 5_000_001])).sum()) == 10**9 and (many <= [10**7, 400, 300]).all()
+
+
 def test_flac_round_trip(docs, texts, empty):
     got = by_id(flac.store_texts(docs, keep_media=True))
     for i, t in texts.items():
@@ -284,7 +296,7 @@ def test_chat_is_reversible(spark):
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("turns", F.lit(1))
     back = {r["conv_id"]: r for r in chat.read_back(chat.format_conversations(df)).collect()}
     for c in (1, 2, 3, None):
-        want = [(r[2] or "", r[3] or "") for r in rows if r[0] == c]
+        want = [(r[2] or "", r[3] or "") for r in sorted(rows, key=lambda r: r[1] or 0) if r[0] == c]
         assert [(t["role"], t["text"]) for t in back[c]["turns"]] == want
         assert back[c]["loss"] == [t for r, t in want if r == "assistant"]
     assert back[1]["formatted"].count("<|im_start|>") == 2 and back[1]["formatted"].count("<|im_end|>") == 2
