@@ -135,11 +135,14 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, seed: int =
     known = known.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     known = known.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = texts.join(F.broadcast(known), "doc_id").mapInArrow(_bags, "doc_id long, quality int, bag binary").collect()
-    found.sort(key=lambda r: (r["doc_id"], r["quality"], bytes(r["bag"])))
-    x = [np.frombuffer(r["bag"], np.float16).reshape(-1, WIDTH) for r in found]
-    many = np.array([len(b) for b in x], np.int64)
-    return fit(np.concatenate(x).astype(np.float32) if x else np.zeros((0, WIDTH), np.float32), many, np.array([r["quality"] for r in found], np.float64), seed)
+    found = texts.join(F.broadcast(known), "doc_id").mapInArrow(_bags, "doc_id long, quality int, bag binary").toArrow()
+    rows = sorted(zip(*(found.column(c).to_pylist() for c in ("doc_id", "quality", "bag")), strict=True))
+    x = [np.frombuffer(bag, np.float16).reshape(-1, WIDTH) for _, _, bag in rows]
+    many, label = np.array([len(b) for b in x], np.int64), np.array([q for _, q, _ in rows], np.float64)
+    model = fit(np.concatenate(x).astype(np.float32) if x else np.zeros((0, WIDTH), np.float32), many, label, seed)
+    del found, rows, x
+    give_back()
+    return model
 
 
 def _score_batches(batches: Iterable[pa.RecordBatch], model: dict) -> Iterator[pa.RecordBatch]:

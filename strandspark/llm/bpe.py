@@ -46,7 +46,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, file)}
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def _pair_table(path: str) -> tuple[list[int], list[int]]:
     """The rank map of neighbouring ids as a row-displaced table: (base by left id, entries).
 
@@ -360,7 +360,10 @@ def _common(source: DataFrame, tables: Column, ranks: dict[bytes, int], pattern:
     table = pa.table({"word": words, "ids": ids})
     with pa.ipc.new_stream(sink, table.schema) as out:
         out.write_table(table)
-    return source.sparkSession.sparkContext.broadcast(sink.getvalue().to_pybytes())
+    shared = source.sparkSession.sparkContext.broadcast(sink.getvalue().to_pybytes())
+    del coded, whole, words, ids, table, sink
+    give_back()
+    return shared
 
 
 def _spelt(batches: Iterable[pa.RecordBatch], byte_ids: list[int]) -> Iterator[pa.RecordBatch]:
