@@ -120,11 +120,12 @@ def long_anchors(v: Column, least: int) -> Column:
 def from_cigar(pos: Column, ops: Column) -> Column:
     """Read and genome regions of an alignment: struct<read, genome>, one region for each operation that uses both."""
     start = F.struct(F.lit(0).cast("long").alias("r"), pos.cast("long").alias("g"), none().alias("read"), none().alias("genome"))
-    uses = lambda o, kinds: F.lit(kinds).contains(o["op"])
+    uses = lambda o, kinds: F.when(F.lit(kinds).contains(o["op"]), o["len"]).otherwise(0)
+    steps = F.transform(ops, lambda o: F.struct(uses(o, "MIS=X").alias("r"), uses(o, "MDN=X").alias("g")))
 
     def add(acc: Column, o: Column) -> Column:
-        r, g = acc["r"] + F.when(uses(o, "MIS=X"), o["len"]).otherwise(0), acc["g"] + F.when(uses(o, "MDN=X"), o["len"]).otherwise(0)
-        both = uses(o, "M=X")
+        r, g = acc["r"] + o["r"], acc["g"] + o["g"]
+        both = (o["r"] > 0) & (o["g"] > 0)
         return F.struct(
             r.alias("r"),
             g.alias("g"),
@@ -132,7 +133,7 @@ def from_cigar(pos: Column, ops: Column) -> Column:
             F.when(both, F.concat(acc["genome"], F.array(region(acc["g"], g)))).otherwise(acc["genome"]).alias("genome"),
         )
 
-    return F.aggregate(ops, start, add, lambda acc: F.struct(acc["read"].alias("read"), acc["genome"].alias("genome")))
+    return F.aggregate(steps, start, add, lambda acc: F.struct(acc["read"].alias("read"), acc["genome"].alias("genome")))
 
 
 def text(v: Column) -> Column:

@@ -84,9 +84,14 @@ def bin_filter(hits: DataFrame, read_key: str, width: int, least: int, overlappi
     return counts.groupBy(read_key).agg(F.max("n").cast("long").alias("most")).withColumn("keep", F.col("most") >= least)
 
 
-def kmer_counts(df: DataFrame, key: str, seq: str, k: int = K, include_last: bool = True) -> DataFrame:
-    """How often each k-mer occurs."""
-    return kmers(df, key, seq, k, include_last).groupBy("kmer").agg(F.count(F.lit(1)).alias("count"))
+def kmer_counts(df: DataFrame, key: str, seq: str, k: int = K, include_last: bool = True, only: DataFrame | None = None) -> DataFrame:
+    """How often each k-mer occurs; with `only`, those of a table's column kmer, sought before they are counted."""
+    rows = kmers(df, key, seq, k, include_last).select("kmer")
+    if only is not None:
+        asked = only.select("kmer").distinct()
+        small = asked.limit(BROADCAST_KMERS + 1).count() <= BROADCAST_KMERS
+        rows = rows.join(F.broadcast(asked) if small else asked, "kmer", "left_semi")
+    return rows.groupBy("kmer").agg(F.count(F.lit(1)).alias("count"))
 
 
 def occurrences(target_kmers: DataFrame, counts: DataFrame, missing: int = 1) -> DataFrame:

@@ -200,6 +200,12 @@ pr AS (SELECT a.qname, a.mate, a.ordinal AS ordinal_a, b.ordinal AS ordinal_b, a
 ov AS (SELECT *, CASE WHEN pa = pb THEN least(ca, cb) ELSE 0 END + CASE WHEN pa + ga = pb + gb THEN 100 - greatest(ca, cb) ELSE 0 END + CASE WHEN pa = pb + gb THEN greatest(ca - cb, 0) ELSE 0 END + CASE WHEN pa + ga = pb THEN greatest(cb - ca, 0) ELSE 0 END AS eq,
   CAST(pa + ca = pb + cb AS INT) + CAST(pa + ca + ga = pb + cb + gb AS INT) AS bounds FROM pr),
 dist AS (SELECT qname, mate, ordinal_a, ordinal_b, round(CASE WHEN NOT same THEN 1.0::DOUBLE ELSE ((1 - eq / 100.0::DOUBLE) + 0.5 * (1 - bounds / 2.0::DOUBLE)) / 3 END, 6) AS distance FROM ov)"""
+_GROUPS = """zero AS (SELECT qname, mate, ordinal_a AS x, ordinal_b AS y FROM dist WHERE distance = 0),
+reach(x, y) AS (SELECT ordinal, ordinal FROM fr UNION SELECT reach.x, e.y FROM reach JOIN (SELECT x, y FROM zero UNION ALL SELECT y, x FROM zero) e ON reach.y = e.x),
+grp AS (SELECT qname, CAST(mate AS INT) AS mate, ordinal, low AS "group" FROM fr JOIN (SELECT x, min(y) AS low FROM reach GROUP BY x) l ON l.x = fr.ordinal),
+sz AS (SELECT qname, mate, "group", count(*) AS size FROM grp GROUP BY ALL),
+lv AS (SELECT qname, mate, CAST(CASE WHEN max(size) = 5 THEN CASE WHEN count(*) = 1 THEN 5 WHEN min(size) = 5 THEN 4 ELSE 3 END WHEN max(size) > 1 THEN 2 ELSE 1 END AS INT) AS level FROM sz GROUP BY qname, mate),
+rc AS (SELECT qname, CAST(CASE WHEN count(DISTINCT mate) < 2 THEN 1 ELSE min(level) END AS INT) AS level FROM lv GROUP BY qname)"""
 _LOG = """lg AS (SELECT CAST(user_id % 300 AS VARCHAR) AS qname, event_id % 2 AS mate, (['accept','accept','unaccept','discard','accept','reset','accept'])[1 + event_id % 7] AS action, event_id AS seq FROM events),
 mt AS (SELECT qname, mate, arg_max(CASE WHEN action = 'accept' THEN seq ELSE -1 END, seq) AS accepted FROM lg WHERE action IN ('accept', 'unaccept', 'reset') GROUP BY ALL),
 rd AS (SELECT qname, coalesce(arg_max(action = 'discard', seq) FILTER (action IN ('discard', 'reset')), FALSE) AS discarded FROM lg GROUP BY qname),
@@ -225,10 +231,10 @@ QUERIES = {
     "J23_record_pairs": (j23, f"WITH {_REC}, {_DIST} SELECT ordinal_a, ordinal_b FROM pr"),
     "J24_record_distance": (j24, f"WITH {_REC}, {_DIST} SELECT ordinal_a, ordinal_b, distance FROM dist"),
     "A26_mean_distance": (a26, f"WITH {_REC}, {_DIST} SELECT qname, CAST(mate AS INT) AS mate, round(avg(distance), 6) AS mean_distance, count(*) AS pairs FROM dist GROUP BY qname, mate"),
-    "M22_similar_groups": (m22, None),
-    "A25_confidence": (a25, None),
-    "A25_read_confidence": (a25_reads, None),
-    "A24_read_summary": (a24, None),
+    "M22_similar_groups": (m22, f'WITH RECURSIVE {_REC}, {_DIST}, {_GROUPS} SELECT qname, mate, ordinal, "group" FROM grp'),
+    "A25_confidence": (a25, f"WITH RECURSIVE {_REC}, {_DIST}, {_GROUPS} SELECT qname, mate, level FROM lv"),
+    "A25_read_confidence": (a25_reads, f"WITH RECURSIVE {_REC}, {_DIST}, {_GROUPS} SELECT qname, level FROM rc"),
+    "A24_read_summary": (a24, f"WITH RECURSIVE {_REC}, {_DIST}, {_GROUPS}, b AS (SELECT qname, count(DISTINCT (contig, pos)) AS locations, string_agg(DISTINCT mapper, ',' ORDER BY mapper) AS mapped_by, max(detail) AS length FROM fr GROUP BY qname) SELECT qname, locations, mapped_by, length, level FROM b JOIN rc USING (qname)"),
     "E9_curation_state": (e9, f"WITH {_LOG} SELECT qname, CAST(mate AS INT) AS mate, accepted, discarded FROM st"),
     "A19_general_info": (a19, f"WITH {_LOG} SELECT count(*) AS total, count(*) FILTER (mates >= 2) AS accepted, count(*) FILTER (mates = 1) AS in_progress, count(*) FILTER (discarded) AS discarded, count(*) - count(*) FILTER (mates >= 2) - count(*) FILTER (discarded) AS todo FROM pq"),
     "R5_accepted_records": (r5, f"WITH {_LOG} SELECT qname, CAST(mate AS INT) AS mate, accepted FROM st WHERE accepted >= 0"),

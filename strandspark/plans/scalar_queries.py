@@ -67,8 +67,9 @@ def c8(spark, d):
 
 
 def c12(spark, d):
-    v = R.from_cigar(F.col("pos"), S.cigar(F.col("cigar")))
-    return _lines(spark, d).select("l_orderkey", "l_linenumber", R.text(v["read"]).alias("read_regions"), R.text(v["genome"]).alias("genome_regions"))
+    v = F.col("v")  # a column of its own, so that it is computed once
+    lines = _lines(spark, d).withColumn("v", R.from_cigar(F.col("pos"), S.cigar(F.col("cigar"))))
+    return lines.select("l_orderkey", "l_linenumber", R.text(v["read"]).alias("read_regions"), R.text(v["genome"]).alias("genome_regions"))
 
 
 def c13(spark, d):
@@ -153,8 +154,9 @@ def w18(spark, d):
 
 
 def w20(spark, d):
-    v = R.from_cigar(F.col("pos"), S.cigar(F.col("cigar")))
-    return _lines(spark, d).select("l_orderkey", "l_linenumber", F.coalesce(R.lift(F.lit(12), v["read"], v["genome"]), F.lit(-1)).alias("at"))
+    v = F.col("v")
+    lines = _lines(spark, d).withColumn("v", R.from_cigar(F.col("pos"), S.cigar(F.col("cigar"))))
+    return lines.select("l_orderkey", "l_linenumber", F.coalesce(R.lift(F.lit(12), v["read"], v["genome"]), F.lit(-1)).alias("at"))
 
 
 def u3(spark, d):

@@ -84,8 +84,9 @@ def a1_kmer_counts(spark, d):
 
 
 def j3_occurrences(spark, d):
-    counts = K.kmer_counts(_docs(spark, d), "doc_id", "text")
-    return K.occurrences(K.kmers(_t(spark, d, "benchmark"), "item_id", "text"), counts).select("item_id", "pos", "count")
+    asked = K.kmers(_t(spark, d, "benchmark"), "item_id", "text")
+    counts = K.kmer_counts(_docs(spark, d), "doc_id", "text", only=asked)
+    return K.occurrences(asked, counts).select("item_id", "pos", "count")
 
 
 def a15_occurrence_weight(spark, d):
