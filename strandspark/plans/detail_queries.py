@@ -144,8 +144,9 @@ def c23(spark, d):
 
 
 def f18(spark, d):
-    r = _records(spark, d).select("qname", "mate", F.col("detail").alias("mismatches"), (F.col("ordinal") % 4 < 2).alias("strand"))
-    return D.strict_confident(r.where("mismatches < 2"), 2)
+    """Items stand for records: orders with one odd and one even item of few mismatches on opposite strands."""
+    r = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("qname"), (F.col("l_linenumber") % 2).alias("mate"), (F.col("l_partkey") % 8).alias("mismatches"), (F.col("l_suppkey") % 2 == 0).alias("strand"))
+    return D.strict_confident(r)
 
 
 _IT = """it AS (SELECT l_orderkey, row_number() OVER w - 1 AS i, least(CAST(l_quantity AS BIGINT), 40) AS q FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, least(CAST(l_quantity AS BIGINT), 40))),
@@ -182,5 +183,5 @@ QUERIES = {
     "E6_read_clusters": (e6, f'WITH {_REC}, {_LD}, m AS (SELECT *, CASE WHEN pos < lag(pos) OVER w + 300 THEN 0 ELSE 1 END AS n FROM ld WINDOW w AS (PARTITION BY qname, contig ORDER BY pos, ordinal)), c AS (SELECT *, sum(n) OVER (PARTITION BY qname, contig ORDER BY pos, ordinal) AS k FROM m) SELECT qname, contig, min(pos) AS start, max(pos) + 300 AS "end", count(*) AS records FROM c GROUP BY qname, contig, k'),
     "E3_read_details": (e3, f"WITH {_REC}, {_LD.replace('st AS', 'sr AS').replace('FROM st', 'FROM sr')}, {_LOG}, p AS (SELECT qname, count(DISTINCT (contig, pos)) AS locations, string_agg(DISTINCT mapper, ',' ORDER BY mapper) AS mapped_by FROM ld GROUP BY qname) SELECT qname, locations, mapped_by, coalesce(mates, 0) AS accepted, coalesce(discarded, FALSE) AS discarded FROM p LEFT JOIN pq USING (qname)"),
     "C23_genomic_interval": (c23, f'WITH {_REC} SELECT ordinal, contig, pos + 1 AS start, pos + 100 AS "end" FROM rec'),
-    "F18_strict_confident": (f18, f"WITH {_REC}, r AS (SELECT qname, mate, ordinal % 4 < 2 AS strand FROM rec WHERE detail < 2) SELECT qname FROM r GROUP BY qname HAVING count(*) FILTER (mate = 0) = 1 AND count(*) FILTER (mate = 1) = 1 AND bool_or(strand) FILTER (mate = 0) <> bool_or(strand) FILTER (mate = 1)"),
+    "F18_strict_confident": (f18, "SELECT l_orderkey AS qname FROM lineitem GROUP BY 1 HAVING count(*) FILTER (l_linenumber % 2 = 0) = 1 AND count(*) FILTER (l_linenumber % 2 = 1) = 1 AND max(l_partkey % 8) < 6 AND bool_or(l_suppkey % 2 = 0) FILTER (l_linenumber % 2 = 0) <> bool_or(l_suppkey % 2 = 0) FILTER (l_linenumber % 2 = 1)"),
 }

@@ -61,15 +61,15 @@ def j26(spark, d):
 
 
 def j28(spark, d):
-    """Exact occurrences of the first 30 letters of passages: seeds by k-mer, then the whole pattern is compared."""
-    pattern = _t(spark, d, "benchmark").where("length(text) >= 30").select("item_id", F.substring("text", 1, 30).alias("pattern"), F.substring("text", 1, 10).alias("kmer"))
+    """Exact occurrences of whole passages: seeds by the first k-mer, then the whole pattern is compared."""
+    pattern = _t(spark, d, "benchmark").where(F.length("text") >= K.K).select("item_id", F.col("text").alias("pattern"), F.substring("text", 1, K.K).alias("kmer"))
     docs = _t(spark, d, "documents").select("doc_id", "text")
-    docs = docs.repartition(spark.sparkContext.defaultParallelism)
-    cut = K.chunks(docs, "doc_id", "text", 256, 29)
-    last = F.least(F.length("chunk") - 30, F.lit(255))
-    rows = cut.where(last >= 0).select("doc_id", "base", "chunk", F.explode(F.sequence(F.lit(0), last)).alias("o"))
-    rows = rows.select("doc_id", (F.col("base") + F.col("o")).cast("long").alias("pos"), F.substring(F.col("chunk"), F.col("o") + 1, F.lit(10)).alias("kmer"), F.substring(F.col("chunk"), F.col("o") + 1, F.lit(30)).alias("whole"))
-    return rows.join(F.broadcast(pattern), "kmer").where("whole = pattern").select("item_id", "doc_id", "pos")
+    few = pattern.limit(K.BROADCAST_KMERS + 1).count() <= K.BROADCAST_KMERS
+    heads = pattern.select("item_id", "kmer")
+    found = K.kmers(docs.repartition(spark.sparkContext.defaultParallelism), "doc_id", "text").join(F.broadcast(heads) if few else heads, "kmer")
+    both = found.select("item_id", "doc_id", "pos").join(docs, "doc_id").join(pattern.select("item_id", "pattern"), "item_id")
+    same = F.substring(F.col("text"), (F.col("pos") + 1).cast("int"), F.length("pattern")) == F.col("pattern")
+    return both.where(same).select("item_id", "doc_id", "pos")
 
 
 def u6(spark, d):
@@ -113,7 +113,7 @@ QUERIES = {
     "S41_group_lines": (s41, f"WITH {_REC} SELECT qname, contig, mate, min(ordinal) AS first, 'XM:Z:' || string_agg(DISTINCT mapper, ',' ORDER BY mapper) || ' XI:Z:' || string_agg(CAST(ordinal AS VARCHAR), ',' ORDER BY ordinal) AS tags FROM rec GROUP BY qname, contig, mate"),
     "W21_diagonal_gaps": (w21, "WITH x AS (SELECT l_orderkey, l_linenumber, least(CAST(l_quantity AS BIGINT), 38) AS q FROM lineitem) SELECT l_orderkey, l_linenumber, CAST(CASE WHEN q >= 36 THEN 1 ELSE 0 END AS INT) AS gaps, CASE WHEN q >= 36 THEN q ELSE -1 END AS start FROM x"),
     "J26_left_anti": (j26, "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)"),
-    "J28_exact_pattern": (j28, "WITH p AS (SELECT item_id, substring(text, 1, 30) AS pattern FROM benchmark WHERE length(text) >= 30), w AS (SELECT doc_id, i AS pos, substring(text, i + 1, 30) AS whole FROM documents, unnest(range(0, greatest(length(text) - 29, 0))) u(i)) SELECT item_id, doc_id, pos FROM w JOIN p ON whole = pattern"),
+    "J28_exact_pattern": (j28, "WITH p AS (SELECT item_id, text AS pattern, substring(text, 1, 10) AS kmer FROM benchmark WHERE length(text) >= 10), w AS (SELECT doc_id, i AS pos, substring(text, i + 1, 10) AS kmer FROM documents, unnest(range(0, greatest(length(text) - 9, 0))) u(i)), s AS (SELECT item_id, pattern, doc_id, pos FROM w JOIN p USING (kmer)) SELECT item_id, doc_id, pos FROM s JOIN documents USING (doc_id) WHERE substring(text, pos + 1, length(pattern)) = pattern"),
     "U6_union_postings": (u6, "SELECT r_regionkey AS seq_index, r AS rpos, substring(r_name, r + 1, 3) AS kmer FROM region, unnest(range(0, length(r_name) - 2, 3)) u(r) UNION ALL SELECT n_nationkey + 5, r, substring(n_name, r + 1, 3) FROM nation, unnest(range(0, length(n_name) - 2, 3)) u(r)"),
     "A13_harmonic_mean": (a13, "SELECT l_suppkey, l_linenumber, round(CASE WHEN min(l_partkey % 9) = 0 THEN 0 ELSE count(*) / sum(1.0::DOUBLE / nullif(l_partkey % 9, 0)) END, 6) AS harmonic FROM lineitem GROUP BY ALL"),
     "A14_geometric_mean": (a14, "SELECT l_suppkey, l_linenumber, round(CASE WHEN min(l_partkey % 9) = 0 THEN 0 ELSE exp(avg(ln(nullif(l_partkey % 9, 0)))) END, 6) AS geometric FROM lineitem GROUP BY ALL"),

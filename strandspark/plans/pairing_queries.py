@@ -14,21 +14,22 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def _mate(spark, d, turn):
-    c = _t(spark, d, "conversations").where(F.col("turn") == turn)
-    return c.select(F.col("conv_id").alias("read_ord"), F.col("text").alias("seq"))
+def _mate(spark, d, mate):
+    """Every two turns of a conversation are the mates of a read."""
+    c = _t(spark, d, "conversations").where(F.col("turn") % 2 == mate)
+    return c.select(F.col("conv_id"), F.expr("turn div 2").alias("read_ord"), F.col("text").alias("seq"))
 
 
 def j30(spark, d):
     """Mates joined by ordinal."""
     a, b = _mate(spark, d, 0), _mate(spark, d, 1).withColumnRenamed("seq", "seq2")
-    return a.join(b, "read_ord").select("read_ord", F.length("seq").alias("n1"), F.length("seq2").alias("n2"))
+    return a.join(b, ["conv_id", "read_ord"]).select("conv_id", "read_ord", F.length("seq").alias("n1"), F.length("seq2").alias("n2"))
 
 
 def f8(spark, d):
     """Pairs of which both mates are long enough; a missing mate passes."""
     a, b = _mate(spark, d, 0), _mate(spark, d, 1).withColumnRenamed("seq", "seq2")
-    return a.join(b, "read_ord", "left").where("length(seq) >= 40 and (seq2 is null or length(seq2) >= 40)").select("read_ord")
+    return a.join(b, ["conv_id", "read_ord"], "left").where("length(seq) >= 40 and (seq2 is null or length(seq2) >= 40)").select("conv_id", "read_ord")
 
 
 def j17(spark, d):
@@ -142,14 +143,14 @@ def m21(spark, d):
     return x.groupBy("l_orderkey").agg(F.min_by("l_linenumber", order).alias("anchor"))
 
 
-_MATES = "a AS (SELECT conv_id AS read_ord, text AS seq FROM conversations WHERE turn = 0), b AS (SELECT conv_id AS read_ord, text AS seq2 FROM conversations WHERE turn = 1)"
+_MATES = "a AS (SELECT conv_id, turn // 2 AS read_ord, text AS seq FROM conversations WHERE turn % 2 = 0), b AS (SELECT conv_id, turn // 2 AS read_ord, text AS seq2 FROM conversations WHERE turn % 2 = 1)"
 _GP = 'gp AS (SELECT CAST(l_suppkey % 7 AS INT) AS target_id, l_partkey % 50 AS s, l_partkey % 50 + 20 + l_linenumber AS e, CAST(l_orderkey % 3 AS INT) AS splice, l_orderkey % 2 = 0 AS plus FROM lineitem)'
 _J18 = "p AS (SELECT a.conv_id, a.turn AS t1, b.turn AS t2, length(a.text) + length(b.text) AS cost FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.role = 'user' AND b.role = 'assistant' AND abs(a.turn - b.turn) = 1 QUALIFY row_number() OVER (PARTITION BY a.conv_id ORDER BY cost, t1, t2) = 1)"
 _SPLIT = "x AS (SELECT l_orderkey, l_linenumber, sum(l_partkey % 7) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey ROWS UNBOUNDED PRECEDING) + coalesce(sum(l_suppkey % 5) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) AS cost FROM lineitem)"
 
 QUERIES = {
-    "J30_mate_zip": (j30, f"WITH {_MATES} SELECT read_ord, CAST(length(seq) AS INT) AS n1, CAST(length(seq2) AS INT) AS n2 FROM a JOIN b USING (read_ord)"),
-    "F8_pair_filter": (f8, f"WITH {_MATES} SELECT read_ord FROM a LEFT JOIN b USING (read_ord) WHERE length(seq) >= 40 AND (seq2 IS NULL OR length(seq2) >= 40)"),
+    "J30_mate_zip": (j30, f"WITH {_MATES} SELECT conv_id, read_ord, CAST(length(seq) AS INT) AS n1, CAST(length(seq2) AS INT) AS n2 FROM a JOIN b USING (conv_id, read_ord)"),
+    "F8_pair_filter": (f8, f"WITH {_MATES} SELECT conv_id, read_ord FROM a LEFT JOIN b USING (conv_id, read_ord) WHERE length(seq) >= 40 AND (seq2 IS NULL OR length(seq2) >= 40)"),
     "J17_assign_results": (j17, "WITH c AS (SELECT conv_id, turn // 2 AS target, turn % 2 AS side, CAST(length(text) AS INT) AS n FROM conversations) SELECT conv_id, target, coalesce(f.n, -1) AS fw, coalesce(r.n, -1) AS rv FROM (SELECT * FROM c WHERE side = 0) f FULL JOIN (SELECT * FROM c WHERE side = 1) r USING (conv_id, target)"),
     "J18_best_combination": (j18, f"WITH {_J18} SELECT conv_id, t1, t2, CAST(cost AS INT) AS cost FROM p"),
     "J19_first_configuration": (j19, f"WITH {_J18} SELECT conv_id, t1 // 2 AS target FROM p"),
