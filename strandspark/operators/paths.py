@@ -28,7 +28,7 @@ def edges(exons: DataFrame, introns: DataFrame) -> DataFrame:
     return a.join(i, ["target_id", "i_start"]).join(b, ["target_id", "i_end"]).select("target_id", "from_start", "i_start", "i_end", "to_end")
 
 
-def paths_right(starts: DataFrame, exons: DataFrame, introns: DataFrame, max_steps: int = 20) -> DataFrame:
+def paths_right(starts: DataFrame, exons: DataFrame, introns: DataFrame) -> DataFrame:
     """All region paths that cover exactly `length` bases from `pos` on: (id, path as text, ends by `end`).
 
     `starts` has (id, target_id, pos, length). A path walks exon, intron, exon; the last exon is clipped, and a path that
@@ -39,8 +39,8 @@ def paths_right(starts: DataFrame, exons: DataFrame, introns: DataFrame, max_ste
     walk = step.select("id", "target_id", F.concat_ws("-", "pos", F.col("pos") + reach).alias("path"), "end", (F.col("length") - reach).alias("left"))
     links = edges(exons, introns).select("target_id", F.col("i_start").alias("end"), "i_end", "to_end").distinct()
     done = walk.where("left = 0").select("id", "path")
-    for _ in range(max_steps):
-        walk = walk.where("left > 0").join(F.broadcast(links), ["target_id", "end"])
+    while True:  # every step uses up bases, so the walks end
+        walk = walk.where("left > 0").join(links, ["target_id", "end"])
         take = F.least(F.col("to_end") - F.col("i_end"), F.col("left"))
         walk = walk.select("id", "target_id", F.concat_ws(",", "path", F.concat_ws("-", "i_end", F.col("i_end") + take)).alias("path"), F.col("to_end").alias("end"), (F.col("left") - take).alias("left"))
         if walk.isEmpty():

@@ -18,8 +18,6 @@ from strandspark.operators.mapping import ALIGNMENTS, TARGET_BYTES, Alignment, R
 
 #: Share of a read that its main anchor must cover, and of mismatches that an anchor may have.
 MIN_ANCHOR_SHARE, MAX_ANCHOR_MISMATCHES = 0.3, 0.2
-#: Paths looked at on one side of an anchor.
-MAX_PATHS = 256
 
 Path = tuple[tuple[int, int], ...]
 
@@ -38,8 +36,6 @@ class Router:
         out: list[Path] = []
 
         def walk(pos: int, left: int, path: Path) -> None:
-            if len(out) >= MAX_PATHS:
-                return
             if pos + left <= len(self.seq):
                 out.append((*path, (pos, pos + left)))
             for k in range(bisect_left(self.starts, pos), len(self.introns)):
