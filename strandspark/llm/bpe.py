@@ -24,7 +24,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandspark.llm.common import byte_blocks, give_back, small_batches, text_bytes
+from strandspark.llm.common import byte_blocks, forget, give_back, save, shuffle_partitions, small_batches, text_bytes
 
 #: The rank of a pair that does not merge. Both ends of a word are marked by the id after the last, which merges with none.
 NONE = 2**31 - 1
@@ -46,7 +46,6 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, file)}
 
 
-@lru_cache(maxsize=1)
 def _pair_table(path: str) -> tuple[list[int], list[int]]:
     """The rank map of neighbouring ids as a row-displaced table: (base by left id, entries).
 
@@ -340,9 +339,11 @@ def _common(source: DataFrame, tables: Column, ranks: dict[bytes, int], pattern:
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     sample = source.where(F.pmod(F.xxhash64("text"), F.lit(max(1, round(size / SAMPLE_BYTES)))) == 0)
     counted = sample.mapInArrow(partial(_sampled_words, pattern=pattern, limit=limit), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    often = counted.where("n > 1").orderBy(F.desc("n"), "word").limit(COMMON_WORDS).select("word").repartition(source.sparkSession.sparkContext.defaultParallelism)
+    # written first: a plan with the rank map's literal is then never planned anew on the way
+    often = save(counted.where("n > 1").orderBy(F.desc("n"), "word").limit(COMMON_WORDS).select("word").repartition(shuffle_partitions(source.sparkSession)), "bpe-words")
     spelt = often.mapInArrow(partial(_spelt, byte_ids=byte_ids), "word string, parts array<int>")
     coded = spelt.select("word", _let(tables, lambda t: fold_merges(t, F.col("parts"))).alias("ids")).toArrow()
+    forget(often)
     whole = {}
     for piece, rank in ranks.items():
         try:
