@@ -29,7 +29,7 @@ from strandspark.llm.common import byte_blocks, forget, give_back, save, shuffle
 #: The rank of a pair that does not merge. Both ends of a word are marked by the id after the last, which merges with none.
 NONE = 2**31 - 1
 #: Text bytes of a chunk (one longer document makes a chunk of its own), and words that a task remembers before it begins anew.
-CHUNK_BYTES, TASK_WORDS = 2 << 20, 1 << 18
+CHUNK_BYTES, TASK_WORDS = 2 << 20, 1 << 19
 #: Words that are folded once for all tasks, and about how many bytes of text they are looked for in.
 COMMON_WORDS, SAMPLE_BYTES = 1 << 18, 64 << 20
 #: White space other than single blanks or line feeds between words: such texts are split by the pattern itself.
