@@ -26,8 +26,11 @@ from pyspark.sql import functions as F
 
 from strandspark.llm.common import byte_blocks, forget, give_back, save, shuffle_partitions, small_batches, text_bytes
 
-#: The rank of a pair that does not merge. Both ends of a word are marked by the id after the last, which merges with none.
-NONE = 2**31 - 1
+#: Bits of an id, and the rank of a pair that does not merge. Both ends of a word are marked by the id after the last, which
+#: merges with none.
+ID_BITS, NONE = 17, 2**17 - 1
+#: Bits of an id and of the byte that it begins at (words of up to half a gigabyte); a pair's rank stands above them.
+PLACE_BITS = ID_BITS + 29
 #: Text bytes of a chunk (one longer document makes a chunk of its own), and words that a task remembers before it begins anew.
 CHUNK_BYTES, TASK_WORDS = 2 << 20, 1 << 18
 #: Words that are folded once for all tasks, and about how many bytes of text they are looked for in.
@@ -49,7 +52,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 def _pair_table(path: str) -> tuple[list[int], list[int]]:
     """The rank map of neighbouring ids as a row-displaced table: (base by left id, entries).
 
-    If the pieces of `left` and `right` join to a piece, its entry ``left * 2**17 + joined`` is at base[left] + right;
+    If the pieces of `left` and `right` join to a piece, its entry ``left * 2**ID_BITS + joined`` is at base[left] + right;
     any other place that a pair points to holds another left id or -1. The end mark has no entry.
     """
     ranks = read_ranks(path)
@@ -75,7 +78,7 @@ def _pair_table(path: str) -> tuple[list[int], list[int]]:
             first += step
         base[left] = int(fits[0])
         free[fits[0] + rights] = False
-        entries[fits[0] + rights] = [left << 17 | row[r] for r in rights.tolist()]
+        entries[fits[0] + rights] = [left << ID_BITS | row[r] for r in rights.tolist()]
         while not free[low]:
             low += 1
     return base, entries[: int(np.flatnonzero(entries >= 0)[-1]) + width + 1].tolist()
@@ -89,38 +92,42 @@ def rank_literals(path: str) -> Column:
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """`body` of a value that is computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    """`body` of a value that is computed once: the end of an aggregation over nothing that begins with the value. (As the
+    element of a transformed array, each result would be copied, and its type derived anew, whenever it is evaluated.)"""
+    return F.aggregate(F.array().cast("array<int>"), value, lambda same, _: same, body)
 
 
 def _joined(tables: Column, left: Column, right: Column) -> Column:
     """The id that two neighbouring ids merge to, or NONE."""
     entry = F.get(tables["pairs"], F.get(tables["base"], left) + right)
-    return F.when(F.shiftright(entry, 17) == left, entry.bitwiseAND(F.lit(0x1FFFF)).cast("int")).otherwise(F.lit(NONE))
+    return F.when(F.shiftright(entry, ID_BITS) == left, entry.bitwiseAND(F.lit(NONE)).cast("int")).otherwise(F.lit(NONE))
 
 
 def fold_merges(tables: Column, word: Column) -> Column:
     """The ids of one word, given its bytes' ids between two end marks: while a neighbouring pair can merge, the first pair
-    of the lowest rank becomes one id (a merged id is its pair's rank)."""
-    ranks = F.transform(F.sequence(F.lit(0), F.size(word) - 2), lambda i: _joined(tables, F.get(word, i), F.get(word, i + 1)))
-    start = F.struct(word.alias("parts"), ranks.alias("ranks"))
-
-    def merge(state: Column, low: Column, at: Column) -> Column:
-        parts, ranks = state["parts"], state["ranks"]
-        size = F.size(parts)
-        left, right = _joined(tables, F.get(parts, at - 2), low), _joined(tables, low, F.get(parts, at + 1))
-        return F.struct(
-            F.flatten(F.array(F.slice(parts, F.lit(1), at - 1), F.array(low), F.slice(parts, at + 2, size))).alias("parts"),
-            F.flatten(F.array(F.slice(ranks, F.lit(1), at - 2), F.array(left, right), F.slice(ranks, at + 2, size))).alias("ranks"),
-        )
-
-    def step(state: Column, _: Column) -> Column:
-        ranks = state["ranks"]
-        merged = _let(F.array_min(ranks), lambda low: F.when(low == NONE, state).otherwise(_let(F.array_position(ranks, low).cast("int"), lambda at: merge(state, low, at))))
-        return merged
-
-    folded = F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(word) - 3, F.lit(1))), start, step, lambda state: state["parts"])
-    return _let(folded, lambda parts: F.slice(parts, F.lit(2), F.size(parts) - 2))
+    of the lowest rank becomes one id (a merged id is its pair's rank).
+
+    The state is one array of longs: the rank of the pair that begins with an id, the byte that the id begins at, and the
+    id. The least one is thus the first pair of the lowest rank, and a merge changes no other byte position.
+    """
+    part = lambda e: e.bitwiseAND(F.lit(NONE)).cast("int")
+    ranked = lambda rank, place: F.shiftleft(rank.cast("long"), PLACE_BITS).bitwiseOR(place)
+    begin = lambda i: F.shiftleft(i.cast("long"), ID_BITS).bitwiseOR(F.get(word, i))
+    start = F.transform(F.sequence(F.lit(0), F.size(word) - 2), lambda i: ranked(_joined(tables, F.get(word, i), F.get(word, i + 1)), begin(i)))
+
+    def merge(pairs: Column, least: Column, at: Column) -> Column:
+        low, before = F.shiftright(least, PLACE_BITS).cast("int"), F.get(pairs, at - 2)
+        after = F.coalesce(part(F.get(pairs, at + 1)), F.get(word, F.lit(0)))  # the end mark at last
+        left = ranked(_joined(tables, part(before), low), before.bitwiseAND(F.lit((1 << PLACE_BITS) - 1)))
+        place = least.bitwiseAND(F.lit((1 << PLACE_BITS) - (1 << ID_BITS))).bitwiseOR(low)
+        return F.concat(F.slice(pairs, F.lit(1), at - 2), F.array(left, ranked(_joined(tables, low, after), place)), F.slice(pairs, at + 2, F.size(pairs)))
+
+    def step(pairs: Column, _: Column) -> Column:
+        found = _let(F.array_min(pairs), lambda least: _let(F.array_position(pairs, least).cast("int"), lambda at: merge(pairs, least, at)))
+        return F.when(F.array_min(pairs) >= F.lit(NONE << PLACE_BITS), pairs).otherwise(found)
+
+    folded = F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(word) - 3, F.lit(1))), start, step)
+    return _let(folded, lambda pairs: F.transform(F.slice(pairs, F.lit(2), F.size(pairs) - 1), part))
 
 
 class Words:
