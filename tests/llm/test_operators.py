@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -12,7 +13,7 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from strandspark.llm import attention, bpe, chat, fertility, flac, lines, mixing, sharding, shingles, simhash, suffix
+from strandspark.llm import attention, bpe, chat, common, fertility, flac, lines, mixing, sharding, shingles, simhash, suffix
 from strandspark.llm.components import connected_components
 
 KIND = "doc_id long, text string, lang string, source string, n_chars long"
@@ -472,3 +473,19 @@ def test_components(spark):
     want = brute_components(sorted({x for e in edges for x in e}), lambda a, b: frozenset((a, b)) in link)
     linked = {x for a, b in edges if a != b for x in (a, b)}
     assert got == {k: v for k, v in want.items() if k in linked}
+
+
+def test_saved_tables_leave_no_shuffle_files(spark):
+    def files():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {f for f in found.mkString("\n").split("\n") if "shuffle_" in f}
+
+    rows = spark.range(1000).select("id", F.col("id").alias("v")).repartition(3, "id")
+    for write in (lambda: common.save(rows, "dropped"), lambda: common.save_bucketed(rows.groupBy("v").count(), "dropped-buckets", "v")):
+        was = files()
+        saved = write()
+        ends = time.time() + 5
+        while files() - was and time.time() < ends:
+            time.sleep(0.1)
+        assert not files() - was and saved.count() == 1000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
