@@ -342,6 +342,20 @@ def test_long_near_lines_are_found(spark):
     assert sum(got[2 * i + 1]["n_removed"] for i in range(150)) >= 0.9 * 150
 
 
+def test_every_long_near_line_is_found(spark):
+    """The rarest pairs of the changed lines are all new ones."""
+    rng, rows = random.Random(34), []
+    for i in range(80):
+        n = rng.choice([20, 25, 40, 45, 80, 150])
+        base = [rng.choice(WORDS[:4]) + rng.choice("abc") for _ in range(n)]
+        other = list(base)
+        for at in range(2, n, 5):
+            other[at] = f"new{i}x{at}"
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(other))]
+    got = by_id(lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert [i for i in range(80) if not got[2 * i + 1]["n_removed"]] == [] and not any(got[2 * i]["n_removed"] for i in range(80))
+
+
 def edit_distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
