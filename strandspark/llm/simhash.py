@@ -62,8 +62,11 @@ def shingle_hashes(data: np.ndarray, offsets: np.ndarray, width: int = 3, seed:
 
 def fingerprints(data: np.ndarray, offsets: np.ndarray, width: int = 3, seed: int = 42) -> np.ndarray:
     """64-bit SimHash of each text in a byte block: majority of the bits of its word shingles' XXH64 values."""
-    n = len(offsets) - 1
-    hashes, owner = shingle_hashes(data, offsets, width, seed)
+    return majority(*shingle_hashes(data, offsets, width, seed), len(offsets) - 1)
+
+
+def majority(hashes: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """The bits that are set in over half of the hashes of each of n texts."""
     if not len(hashes):
         return np.zeros(n, np.uint64)
     step = 1 << 18

@@ -187,6 +187,21 @@ def test_shingle_groups_match_brute_force(spark, docs, texts, empty, monkeypatch
     assert shingles.shingle_groups(docs).count() == docs.count() and shingles.shingle_groups(empty).count() == 0
 
 
+def test_shingle_groups_begin_with_simhash(spark, texts, monkeypatch):
+    many = dict(texts) | {500: " ".join(f"w{i}" for i in range(4000)), 501: " ".join(f"w{i}" for i in range(3995))}
+    asked = []
+    pairs = shingles.print_pairs
+    monkeypatch.setattr(shingles, "print_pairs", lambda prints: asked.append(pairs(prints)) or asked[-1])
+    monkeypatch.setattr(shingles, "forget", lambda *tables: None)
+    df = spark.createDataFrame(list(many.items()), "doc_id long, text string").repartition(3)
+    got = by_id(shingles.shingle_groups(df))
+    assert got[501]["component_id"] == 500 and len(asked) == 1
+    assert brute_print(many[500], 5) == brute_print(many[501], 5) and asked[0].count() > 0
+    prints = [(i, v) for i, v in enumerate([5, 4, 5 ^ 1 << 40, 0xFFFF00, 0xFFFF00, 1 << 60 | 0xFF0000])]
+    found = {r["node"]: r["root"] for r in connected_components(pairs(spark.createDataFrame(prints, "id long, fp long"))).collect()}
+    assert found == {0: 0, 1: 0, 2: 0, 3: 3, 4: 3}
+
+
 def test_links_of_large_buckets(spark):
     rng = np.random.default_rng(2)
     base = rng.integers(0, 1 << 63, 3, dtype=np.uint64)
