@@ -426,6 +426,18 @@ def test_lines_of_few_words_match_brute_force(spark):
     check_lines(spark, rng, out, lambda a, b: edit_distance(a, b) <= max(len(a), len(b)) * 0.2 + 1e-9)
 
 
+def test_lines_of_one_passage_are_not_all_compared(spark, monkeypatch):
+    """Lines that share most of a passage but are too far apart; two pairs of them are similar."""
+    rng, seen, verified = random.Random(35), [], lines._verified
+    monkeypatch.setattr(lines, "_verified", lambda pairs, *more: seen.append(pairs.count()) or verified(pairs, *more))
+    passage = [f"{rng.choice(WORDS[:6])}{i % 9}" for i in range(76)]
+    rows = [(i, " ".join([*passage, *(f"own{i}x{j}" for j in range(24))])) for i in range(90)]
+    rows += [(90 + i, rows[40 + i][1].replace(f"own{40 + i}x3", "other")) for i in range(2)]
+    got = by_id(lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert [i for i in got if got[i]["n_removed"]] == [90, 91]
+    assert sum(seen) < 600  # of 4186 pairs, all of which share keys
+
+
 def test_lines_shuffled_joins_agree(docs, monkeypatch):
     a = sorted(map(str, lines.dedup_lines(docs).collect()))
     monkeypatch.setattr(lines, "BROADCAST_BYTES", -1)
