@@ -272,19 +272,35 @@ class RunLengthIndex:
 
     @staticmethod
     def _suffix_order(symbol: np.ndarray, depth: int) -> np.ndarray:
-        """Suffix order by prefix doubling; marks differ, so ranks are distinct once `depth` symbols are looked at."""
+        """Suffix order by prefix doubling; marks differ, so ranks are distinct once `depth` symbols are looked at.
+
+        As many symbols as a number holds are looked at first. A rank is the first place of its group in the order, so
+        groups of one keep theirs, and each round sorts the others alone.
+        """
         n = len(symbol)
-        rank, have = symbol, 1
-        order = np.argsort(rank)
+        if not n:
+            return np.zeros(0, np.int64)
+        bits = int(symbol.max() + 1).bit_length()
+        have = min(62 // bits, n)
+        key = symbol + 1
+        for j in range(1, have):
+            key <<= bits
+            key[: n - j] += symbol[j:] + 1
+        order = np.argsort(key)
+        key, live = key[order], np.arange(n)
+        rank = np.empty(n, np.int64)
         while True:
-            key = rank[order]
-            rank = np.empty(n, np.int64)
-            rank[order] = np.cumsum(np.r_[0, key[1:] != key[:-1]]) if n else 0
-            if have >= depth or not n or rank[order[-1]] == n - 1:
+            # live: places of the groups that were sorted; key: by what
+            new = np.r_[True, key[1:] != key[:-1]]
+            rank[order[live]] = live[np.maximum.accumulate(np.where(new, np.arange(len(live)), 0))]
+            live = live[~(new & np.r_[new[1:], True])]
+            if have >= depth or not len(live):
                 return order
-            after = np.r_[rank[have:] + 1, np.zeros(min(have, n), np.int64)][:n]
-            rank = rank * (n + 1) + after
-            order = np.argsort(rank)
+            suffix = order[live]
+            after = suffix + have
+            key = rank[suffix] * (n + 1) + np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
+            to = np.argsort(key)
+            order[live], key = suffix[to], key[to]
             have *= 2
 
     def _common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -375,11 +391,11 @@ def _repeated_starts(index: RunLengthIndex, head: np.ndarray) -> tuple[np.ndarra
     pos = head[text, 1] + np.arange(len(index.symbol)) - index.starts[text]
     doc, tag = head[text, 0], head[text, 4]
     # starts ordered by document and place, as numbers
-    order = np.lexsort((pos, tag, doc))
-    first = _cuts(doc[order], tag[order], pos[order])
-    key = np.empty(len(order), np.int64)
-    key[order] = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    found = index.repeats(key)
+    order = np.lexsort((head[:, 4], head[:, 0]))
+    first = _cuts(head[order, 0], head[order, 4])
+    number = np.empty(len(order), np.int64)
+    number[order] = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    found = index.repeats(number[text] << 32 | pos)
     return doc[found], tag[found], pos[found]
 
 

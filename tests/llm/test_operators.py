@@ -109,6 +109,16 @@ def test_run_length_index_statistics():
     assert found.tolist() == want
 
 
+def test_suffix_order_sorts_only_what_is_open(monkeypatch):
+    rng, sorted_, argsort = random.Random(41), [], np.argsort
+    texts = [bytes(rng.choices(b"abcd", k=60)) * rng.choice([1, 1, 2]) for _ in range(40)] + [b"", b"a" * 50]
+    symbol = np.array([x for i, t in enumerate(texts) for x in [*(c + len(texts) for c in t), i]])
+    monkeypatch.setattr(np, "argsort", lambda x, *more, **named: sorted_.append(len(x)) or argsort(x, *more, **named))
+    order = suffix.RunLengthIndex._suffix_order(symbol, 121)
+    assert order.tolist() == sorted(range(len(symbol)), key=lambda i: symbol[i:].tolist())
+    assert sum(sorted_) < 4 * len(symbol)  # 8 or so times before
+
+
 @pytest.mark.parametrize("pattern, common, task_words", [(P.PATTERN, bpe.COMMON_WORDS, bpe.TASK_WORDS), (P.PATTERN, 5, 40), (r"[\n!-/]+|\w+|[^\n!-/\w]+", 5, 40)])
 def test_bpe_equals_tiktoken(spark, docs, texts, empty, monkeypatch, pattern, common, task_words):
     monkeypatch.setattr(bpe, "COMMON_WORDS", common)
