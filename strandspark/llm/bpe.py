@@ -3,7 +3,7 @@
 Each task gathers its documents into chunks of bounded size. A chunk row holds the words (the matches of the split
 pattern) that the task has not met before, and every document as numbers of words. Spark expressions fold the merges over
 each new word against a literal rank map; the chunk is then read back into documents by the same task, which remembers the
-ids of its words and decodes by concatenating binary pieces. Words that are common in a sample are folded once and
+ids of its words, decodes them once by concatenating binary pieces, and joins what words decode to. Words that are common in a sample are folded once and
 broadcast, which saves work and changes no result. Documents are not shuffled.
 """
 
@@ -290,39 +290,52 @@ def _documents(batches: Iterable[pa.RecordBatch], common: Broadcast, pieces: Bro
     spelling = pa.array([f"{i} " for i in range(len(piece))], pa.large_string())
     none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
     start, size, ids = none  # of the codes of the task's words
+    lines = raws = pa.array([], pa.large_binary())  # the words' decimal ids, a blank after each, and the bytes that these decode to
     for batch in batches:
         for row in range(batch.num_rows):
             cell = lambda name: batch.column(name)[row]  # noqa: B023, E731
             if cell("anew").as_py():
                 start, size, ids = none
+                lines = raws = pa.array([], pa.large_binary())
             at = np.frombuffer(cell("shared").as_py(), np.int32)
             own, codes = _lists(cell("codes").values) if len(cell("codes")) else (np.zeros(1, np.int64), np.zeros(0, np.int32))
             both = np.r_[at_shared, len(ids_shared) + own[1:]]
             word = np.where(at < 0, np.cumsum(at < 0) - 1 + len(at_shared) - 1, at)
             many = both[word + 1] - both[word]
             found = np.r_[ids_shared, codes][_gather(both[word], many)]
-            start, size, ids = np.r_[start, len(ids) + np.cumsum(many) - many], np.r_[size, many], np.r_[ids, found]
+            lines, raws = pa.concat_arrays([lines, _by_word(spelling, found, many)]), pa.concat_arrays([raws, _by_word(piece, found, many)])
+            size = np.r_[size, many]
+            if keep_ids:
+                start, ids = np.r_[start, len(ids) + np.cumsum(many) - many], np.r_[ids, found]
             cut = np.r_[0, np.cumsum(np.frombuffer(cell("sizes").as_py(), np.int64))]
             index = np.frombuffer(_CODEC.decompress(cell("idx").as_py(), int(4 * cut[-1]), asbytes=True), np.int32)
             counts = size[index]
-            all_ids = ids[_gather(start[index], counts)]
             until = np.r_[0, np.cumsum(counts)][cut]
-            taken = pa.array(all_ids)
-            (line, line_at), (raw, raw_at) = _bytes(spelling.take(taken)), _bytes(piece.take(taken))
+            taken = pa.array(index)
+            (line, line_at), (raw, raw_at) = _bytes(lines.take(taken)), _bytes(raws.take(taken))
+            line_at, raw_at = line_at[cut], raw_at[cut]
             ids_sha, text_sha = [], []
-            for a, b in zip(until[:-1].tolist(), until[1:].tolist(), strict=True):
-                ids_sha.append(hashlib.sha256(line[line_at[a] : max(line_at[a], line_at[b] - 1)]).hexdigest())  # without the last blank
-                text_sha.append(hashlib.sha256(raw[raw_at[a] : raw_at[b]]).hexdigest())
+            for a, b in zip(line_at[:-1].tolist(), line_at[1:].tolist(), strict=True):
+                ids_sha.append(hashlib.sha256(line[a : max(a, b - 1)]).hexdigest())  # without the last blank
+            for a, b in zip(raw_at[:-1].tolist(), raw_at[1:].tolist(), strict=True):
+                text_sha.append(hashlib.sha256(raw[a:b]).hexdigest())
             out = [pa.array(cell("doc_ids").as_py(), pa.int64()), pa.array(np.diff(until)), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if keep_ids:
-                out, names = [*out, pa.ListArray.from_arrays(pa.array(until, pa.int32()), taken)], [*names, "ids"]
-            del index, counts, all_ids, taken, line, raw, line_at, raw_at
+                out, names = [*out, pa.ListArray.from_arrays(pa.array(until, pa.int32()), pa.array(ids[_gather(start[index], counts)]))], [*names, "ids"]
+            del index, counts, taken, line, raw, line_at, raw_at
             yield pa.RecordBatch.from_arrays(out, names)
     start = size = ids = none
+    del lines, raws
     give_back()
 
 
+def _by_word(strings: pa.Array, ids: np.ndarray, many: np.ndarray) -> pa.Array:
+    """The strings of the ids, `many` of them joined for each word."""
+    data, at = _bytes(strings.take(pa.array(ids)))
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(many), [None, pa.py_buffer(at[np.r_[0, np.cumsum(many)]]), pa.py_buffer(data)])
+
+
 def _bytes(column: pa.Array) -> tuple[memoryview, np.ndarray]:
     """All bytes of a large string or binary column, and its offsets."""
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)

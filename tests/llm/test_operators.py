@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -160,6 +161,26 @@ def brute_components(nodes, linked):
     return {n: find(n) for n in nodes}
 
 
+def test_bpe_decodes_a_word_once(monkeypatch):
+    """The word "ab " of ids 0, 1 and 2 a thousand times in each of two documents."""
+    class Shared:
+        def __init__(self, value):
+            self.value = value
+
+    taken, gather = [], bpe._gather
+    monkeypatch.setattr(bpe, "_gather", lambda starts, sizes: taken.append(int(np.sum(sizes))) or gather(starts, sizes))
+    sink = pa.BufferOutputStream()
+    common = pa.table({"word": pa.array([], pa.large_string()), "ids": pa.array([], pa.list_(pa.int32()))})
+    with pa.ipc.new_stream(sink, common.schema) as out:
+        out.write_batch(pa.RecordBatch.from_arrays([pa.array(["q"], pa.large_string()), pa.array([[3]], pa.list_(pa.int32()))], schema=common.schema))
+    row = {"doc_ids": [5, 6], "anew": True, "sizes": np.array([1000, 1000], np.int64).tobytes(), "idx": bpe._CODEC.compress(np.zeros(2000, np.int32).tobytes(), asbytes=True), "shared": np.array([-1], np.int32).tobytes(), "codes": [[0, 1, 2]]}
+    batch = pa.RecordBatch.from_pylist([row])
+    (got,) = bpe._documents([batch], Shared(sink.getvalue().to_pybytes()), Shared([b"a", b"b", b" ", b"q"]), False)
+    want = [hashlib.sha256(x).hexdigest() for x in (" ".join(["0 1 2"] * 1000).encode(), b"ab " * 1000)]
+    assert [[r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]] for r in got.to_pylist()] == [[i, 3000, *want] for i in (5, 6)]
+    assert sum(taken) == 3
+
+
 def test_simhash_matches_brute_force(docs, texts, empty):
     got = by_id(simhash.simhash_groups(docs))
     want = {i: brute_print(t) for i, t in texts.items()}
