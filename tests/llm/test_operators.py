@@ -161,6 +161,13 @@ def brute_components(nodes, linked):
     return {n: find(n) for n in nodes}
 
 
+def test_plans_are_described_briefly(spark):
+    """A rank map in a plan does not reach the descriptions that the driver keeps."""
+    docs = common.table(spark, "/root/testdata/sf0.001", "documents").limit(1)
+    coded = docs.select(bpe.rank_literals(P.path("byte_bpe_50k.tiktoken")).alias("tables"))
+    assert len(coded._jdf.queryExecution().toString()) < 100_000
+
+
 def test_bpe_decodes_a_word_once(monkeypatch):
     """The word "ab " of ids 0, 1 and 2 a thousand times in each of two documents."""
     class Shared:
