@@ -161,6 +161,19 @@ def brute_components(nodes, linked):
     return {n: find(n) for n in nodes}
 
 
+def test_driver_gives_back_freed_memory(spark, tmp_path, monkeypatch):
+    from strandspark.llm import common
+
+    done = []
+    given = common.give_back_driver
+    monkeypatch.setattr(common, "_gave_back", float("-inf"))
+    monkeypatch.setattr(common, "give_back_driver", lambda s: done.append(given(s)))
+    monkeypatch.setattr(common, "shared_dir", lambda s: str(tmp_path))
+    common.save(spark.range(3), "some")
+    common.save(spark.range(3), "more")
+    assert done == [True, False]  # the second comes within seconds
+
+
 def test_plans_are_described_briefly(spark):
     """A rank map in a plan does not reach the descriptions that the driver keeps."""
     docs = common.table(spark, "/root/testdata/sf0.001", "documents").limit(1)
