@@ -161,6 +161,21 @@ def brute_components(nodes, linked):
     return {n: find(n) for n in nodes}
 
 
+def test_lines_tell_keys_once(spark, monkeypatch):
+    """Not once more in a filter, which the optimiser makes of a condition on them."""
+    plans, saved = [], lines.save
+
+    def save(df, name):
+        plans.extend([df._jdf.queryExecution().optimizedPlan()] if name == "line-words" else [])
+        return saved(df, name)
+
+    monkeypatch.setattr(lines, "save", save)
+    out = lines.dedup_lines(spark.createDataFrame([(1, "a b c d e f\na b c\na b c d"), (2, "A b c d e f\na b\na b c d e")], "doc_id long, text string"))
+    assert {(r.doc_id, r.n_removed) for r in out.collect()} == {(1, 1), (2, 2)}
+    conditions = [line for line in plans[0].toString().split("\n") if "Filter" in line.split("(")[0]]
+    assert conditions and not any("xxhash64" in line for line in conditions)
+
+
 def test_driver_gives_back_freed_memory(spark, tmp_path, monkeypatch):
     from strandspark.llm import common
 
