@@ -504,6 +504,25 @@ def test_lines_of_one_passage_are_not_all_compared(spark, monkeypatch):
     assert sum(seen) < 600  # of 4186 pairs, all of which share keys
 
 
+def test_lines_of_common_words_share_few_keys(spark, monkeypatch):
+    """Most pairs of neighbouring words come in other lines too, few threes do; what is shuffled by key has no signatures."""
+    from strandspark.llm import candidates
+
+    rng, kept, saved = random.Random(36), [], candidates.save
+
+    def save(df, name):
+        out = saved(df, name)
+        kept.extend([(out.columns, out.count())] if name == "lines-keys" else [])
+        return out
+
+    monkeypatch.setattr(candidates, "save", save)
+    rows = [(i, " ".join(f"w{rng.randrange(150)}x" for _ in range(60))) for i in range(400)]
+    rows += [(400 + i, rows[i][1].replace("1x", "2x", 9)) for i in range(3)]
+    got = by_id(lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert [i for i in got if got[i]["n_removed"]] == [400, 401, 402]
+    assert all("sign" not in columns for columns, _ in kept) and 0 < sum(n for _, n in kept) < 2500
+
+
 def test_lines_shuffled_joins_agree(docs, monkeypatch):
     a = sorted(map(str, lines.dedup_lines(docs).collect()))
     monkeypatch.setattr(lines, "BROADCAST_BYTES", -1)
